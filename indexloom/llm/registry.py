@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, linededup, simhash, tokenfiles
+from . import bpe, kdsearch, linededup, sharding, simhash, tokenfiles
 from .common import table, tokenizer_path
 
 
+def op1_kd_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return kdsearch.top_k(vectors, vectors.where("vec_id % 100 = 0"), k=10, scale=1024)
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     classes = simhash.near_classes(table(spark, sf_dir, "documents"))
     return classes.select("doc_id", simhash.fingerprint_hex("fp").alias("fingerprint"), "component_id")
@@ -26,6 +31,14 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.token_digests(tokenfiles.read_tokens(spark, path))
 
 
+def op9_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.shard_documents(table(spark, sf_dir, "documents"), shards=40, overhead=16)
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     kept = linededup.drop_lines(docs, linededup.line_bitmaps(docs))
@@ -35,14 +48,17 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_kd_top_k,
         op6_simhash_near_dedup,
         op7_bpe_round_trip,
         op8_token_files,
+        op9_byte_shards,
         op10_line_dedup,
     )
 }
 
 SQL: dict[str, str] = {
+    "op1_kd_top_k": kdsearch.SQL,
     "op10_line_dedup": linededup.SQL,
 }
 
