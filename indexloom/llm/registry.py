@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, kdsearch, linededup, sharding, simhash, tokenfiles
+from . import bpe, kdsearch, linededup, mixing, sharding, simhash, tokenfiles, urlfilter
 from .common import table, tokenizer_path
 
 
@@ -16,6 +16,16 @@ def op1_kd_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kdsearch.top_k(vectors, vectors.where("vec_id % 100 = 0"), k=10, scale=1024)
 
 
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    listed = urlfilter.spam_urls(pages, urlfilter.SPAM_HOSTS)
+    return urlfilter.judge_urls(pages, listed).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, sf_dir, "documents"), temperature=0.5, growth=1.0, seed=17)
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     classes = simhash.near_classes(table(spark, sf_dir, "documents"))
     return classes.select("doc_id", simhash.fingerprint_hex("fp").alias("fingerprint"), "component_id")
@@ -49,6 +59,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_kd_top_k,
+        op3_url_filter,
+        op5_mix_sources,
         op6_simhash_near_dedup,
         op7_bpe_round_trip,
         op8_token_files,
@@ -59,6 +71,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 SQL: dict[str, str] = {
     "op1_kd_top_k": kdsearch.SQL,
+    "op3_url_filter": urlfilter.SQL,
+    "op5_mix_sources": mixing.SQL,
     "op10_line_dedup": linededup.SQL,
 }
 
