@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, kdsearch, linededup, mixing, sharding, simhash, tokenfiles, urlfilter
+from . import bpe, kdsearch, linededup, mixing, quality, sharding, simhash, tokenfiles, urlfilter
 from .common import table, tokenizer_path
 
 
@@ -16,6 +16,11 @@ def op1_kd_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kdsearch.top_k(vectors, vectors.where("vec_id % 100 = 0"), k=10, scale=1024)
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.judged(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", *quality.FEATURES[:5], "base_failed", "kept")
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     listed = urlfilter.spam_urls(pages, urlfilter.SPAM_HOSTS)
@@ -59,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_kd_top_k,
+        op2_quality_rules,
         op3_url_filter,
         op5_mix_sources,
         op6_simhash_near_dedup,
@@ -71,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 SQL: dict[str, str] = {
     "op1_kd_top_k": kdsearch.SQL,
+    "op2_quality_rules": quality.SQL,
     "op3_url_filter": urlfilter.SQL,
     "op5_mix_sources": mixing.SQL,
     "op10_line_dedup": linededup.SQL,
