@@ -7,22 +7,24 @@ ids and starts are delta-encoded, row groups and pages are of a set size, and th
 of some documents skip the other pages. A small manifest (task, tokens before it) gives global starts.
 
 Encoding: a text is cut before each space that a non-space follows. The byte-level pre-tokenizer always
-has a boundary there, so the parts can be encoded apart; a task keeps the ids of parts it has seen, and
-the tokenizers library encodes all new parts of some documents in one call.
+has a boundary there, so the parts can be encoded apart, and a worker keeps the ids of parts it has seen.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .bpe import PLAIN, byte_alphabet
 from .common import shared_dir
 
 # Unicode's White_Space characters
@@ -30,7 +32,10 @@ SPACES = "\t\n\x0b\x0c\r \x85\xa0               
 CUT = re.compile(f" (?=[^{SPACES}])")
 ASCII_RUNS = tuple(" " + c for c in SPACES if c.isascii())
 ALL_RUNS = tuple(" " + c for c in SPACES)
-KEPT = 500_000  # parts whose ids a worker keeps; others are encoded whenever they occur
+# The byte-level pre-tokenizer's words; the first for ASCII alone
+ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.ASCII)
+WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+KEPT = 400_000  # parts and words whose ids a worker keeps; others are encoded whenever they occur
 GROUP = 1 << 20  # characters that are cut up at once
 
 WRITER = {
@@ -54,8 +59,27 @@ def cut(text: str) -> list[str]:
     return text.split(" ")
 
 
+class Parts(dict):
+    """The ids, as bytes, of a text's parts; `lead` is the space before them, or none."""
+
+    def __init__(self, encoder: PartEncoder, lead: str):
+        super().__init__()
+        self.encoder, self.lead = encoder, lead
+
+    def __missing__(self, part: str) -> bytes:
+        ids = self.encoder.part(self.lead + part)
+        if len(self) < KEPT:
+            self[part] = ids
+        return ids
+
+
 class PartEncoder:
-    """Encodes texts as tokenizers does, without special tokens of its own."""
+    """Encodes texts as tokenizers does, without special tokens of its own.
+
+    A part that is new is cut into the pre-tokenizer's words, and the library's model encodes each new
+    word. Texts with special tokens, and parts with characters that Unicode's versions class
+    differently, are left to the library as a whole.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -63,56 +87,35 @@ class PartEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        special = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
-        self.fence, self.fence_id = next(iter(special.items()))
-        self.special = tuple(special)
-        self.known: tuple[dict, dict] = ({}, {})  # by part: without and with a space before it
-
-    def _learn(self, parts: list[str], spaced: int) -> dict:
-        """The ids, as bytes, of new parts; the special token between them keeps them apart."""
-        lead = " " if spaced else ""
-        line = self.fence.join([lead + p for p in parts])
-        ids = np.array(self.library.encode_batch_fast([line], add_special_tokens=False)[0].ids, np.int32)
-        ends = np.append(np.flatnonzero(ids == self.fence_id), len(ids))
-        raw, at, out = ids.tobytes(), 0, {}
-        for part, end in zip(parts, ends.tolist()):
-            out[part] = raw[4 * at : 4 * end]
-            at = end + 1
-        known = self.known[spaced]
-        if len(known) < KEPT:
-            known.update(out)
-        return out
-
-    def _ids(self, parts: list[list[str]], spaced: int) -> list[bytes]:
-        known = self.known[spaced]
-        new = [p for p in set().union(*parts) if p not in known]
-        if not new:
-            find = known.__getitem__
-            return [b"".join(map(find, x)) for x in parts]
-        both = self._learn(new, spaced)
-        if both.keys() <= known.keys():
-            find = known.__getitem__
+        self.special = tuple(t.content for t in self.library.get_added_tokens_decoder().values())
+        self.letters = byte_alphabet()
+        self.first, self.rest = Parts(self, ""), Parts(self, " ")
+        self.words: dict[str, bytes] = {}
+
+    def part(self, part: str) -> bytes:
+        if part.isascii():
+            words = ASCII_WORDS.findall(part)
+        elif PLAIN.fullmatch(part):
+            words = WORDS.findall(part)
         else:
-            def find(p):
-                return known.get(p) or both.get(p) or b""
-        return [b"".join(map(find, x)) for x in parts]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, as little-endian 32-bit integers."""
-        out: list[bytes] = [b""] * len(texts)
-        plain = []
-        for k, text in enumerate(texts):
-            if any(s in text for s in self.special):
-                ids = self.library.encode(text, add_special_tokens=False).ids
-                out[k] = np.array(ids, np.int32).tobytes()
-            elif text:
-                plain.append(k)
-        parts = [cut(texts[k]) for k in plain]
-        firsts = self._ids([[x[0]] for x in parts], 0)
-        rests = self._ids([x[1:] for x in parts], 1)
-        for k, first, rest in zip(plain, firsts, rests):
-            out[k] = first + rest
-        return out
+            ids = self.library.encode(part, add_special_tokens=False).ids
+            return np.array(ids, np.int32).tobytes()
+        return b"".join([self.words.get(w) or self.word(w) for w in words])
+
+    def word(self, word: str) -> bytes:
+        letters = self.letters
+        tokens = self.library.model.tokenize("".join([letters[b] for b in word.encode()]))
+        ids = array("i", [t.id for t in tokens]).tobytes()
+        if len(self.words) < KEPT:
+            self.words[word] = ids
+        return ids
+
+    def encode(self, text: str) -> bytes:
+        """The ids of a text, as little-endian 32-bit integers."""
+        if any(s in text for s in self.special):
+            return np.array(self.library.encode(text, add_special_tokens=False).ids, np.int32).tobytes()
+        first, *rest = cut(text)
+        return self.first[first] + b"".join(map(self.rest.__getitem__, rest))
 
 
 @lru_cache(2)
@@ -145,7 +148,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, id
         for batch in batches:
             texts, at = [t or "" for t in batch.column(1).to_pylist()], 0
             for block in grouped(texts):
-                ids = [x + end for x in encode(block)]
+                ids = [encode(text) + end for text in block]
                 counts = np.array([len(x) // 4 for x in ids], np.int64)
                 offsets = np.concatenate([[0], np.cumsum(counts)])
                 values = pa.array(np.frombuffer(b"".join(ids), np.int32))
