@@ -239,6 +239,16 @@ def coded_digests(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
     return _coded(docs, tokenizer, id_col, text_col, "n_tokens long, ids_sha256 string, decoded_sha256 string", _digests)
 
 
+def encode_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id_col, n_tokens, ids, decoded_sha256): the ids, and a digest of the text that they decode to."""
+    return _coded(docs, tokenizer, id_col, text_col, "n_tokens long, ids array<int>, decoded_sha256 string", _kept)
+
+
+def _kept(coded):
+    rows = [(len(ids), ids.astype(np.int32), hashlib.sha256(text).hexdigest()) for ids, text in coded]
+    return [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.list_(pa.int32()), pa.string()))]
+
+
 def _lists(coded):
     ids, texts = zip(*coded)
     return [pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32())), pa.array([t.decode() for t in texts])]

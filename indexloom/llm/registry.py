@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, kdsearch, linededup, mixing, quality, sharding, simhash, tokenfiles, urlfilter
+from . import bpe, kdsearch, licenses, linededup, mixing, quality, sharding, simhash, tokenfiles, urlfilter
 from .common import table, tokenizer_path
 
 
@@ -27,6 +27,10 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge_urls(pages, listed).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"), temperature=0.5, growth=1.0, seed=17)
 
@@ -66,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_kd_top_k,
         op2_quality_rules,
         op3_url_filter,
+        op4_license_scan,
         op5_mix_sources,
         op6_simhash_near_dedup,
         op7_bpe_round_trip,
