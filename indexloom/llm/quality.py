@@ -50,7 +50,15 @@ def let(value: Column, body) -> Column:
 
 
 def repeat_words(words: Column) -> Column:
-    """The words that lie in windows of 8 words found twice or more in the text."""
+    """The words that lie in windows of 8 words found twice or more in the text.
+
+    `words` is bound first: were it an expression of a lower projection, the optimizer could otherwise
+    move it into the loops.
+    """
+    return let(words, _repeat_words)
+
+
+def _repeat_words(words: Column) -> Column:
     n = F.size(words)
     keys = F.when(
         n >= WINDOW,
@@ -167,7 +175,9 @@ def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     good = materialize(posteriors(counts), "posteriors")
     texts = docs.withColumn("_loom_row", F.struct(*[F.col(f"`{c}`") for c in docs.columns]))
     scored = features(texts.select("_loom_row", F.col(text_col).alias("text")), "_loom_row", "text")
-    scored = scored.where(f"not ({BASE_FAILED})").withColumn("_loom_pattern", votes())
+    # a failed base check is part of the key, as a filter would be moved below the features and repeat them
+    failed = F.expr(f"CASE WHEN {BASE_FAILED} THEN '-' ELSE '' END")
+    scored = scored.withColumn("_loom_pattern", F.concat(votes(), failed))
     good = F.broadcast(good.where("good >= 0.5").select(F.col("pattern").alias("_loom_pattern")))
     return scored.join(good, "_loom_pattern", "left_semi").select("_loom_row.*")
 
