@@ -8,6 +8,8 @@ array language defines. Integer arithmetic wraps only where ANSI mode is off whi
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -42,7 +44,9 @@ def mod(x: Column, y: Column) -> Column:
 
 def div(x: Column, y: Column) -> Column:
     """Division towards minus infinity."""
-    return quot(x - mod(x, y), y)
+    y = _lit(y)
+    r = x % y
+    return F.when((r != 0) & ((r < 0) != (y < 0)), quot(x, y) - 1).otherwise(quot(x, y))
 
 
 def signum_int(x: Column) -> Column:
@@ -246,12 +250,8 @@ def vec_unpack(vector: Column, n: int) -> list[Column]:
 
 def bits_of(x: Column) -> Column:
     """The bits of a double as a long. Spark has no built-in for it, so this runs in Arrow batches."""
-    import pandas as pd
-
     @F.pandas_udf("long")
-    def view(s: pd.Series) -> pd.Series:
-        import numpy as np
-
+    def view(s):
         return pd.Series(s.to_numpy(np.float64).view(np.int64))
 
     return view(x)
