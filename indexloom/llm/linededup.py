@@ -169,8 +169,9 @@ def line_bitmaps(
 def drop_lines(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the dropped lines gone from text_col, and n_lines (before) and n_dropped, as long.
 
-    A null text becomes an empty one: one empty line.
+    A null text becomes an empty one: one empty line. The two replace columns of those names.
     """
+    docs = docs.drop("n_lines", "n_dropped")
     marked = docs.withColumn("_loom_hash", F.xxhash64(text_col))
     keep = bitmaps.select(
         F.col(id_col).alias("_loom_id"), F.col("text_hash").alias("_loom_of"), F.col("keep").alias("_loom_keep")
