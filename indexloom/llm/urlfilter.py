@@ -85,20 +85,20 @@ def listed_pages(pages: DataFrame, listed: DataFrame, url_col: str = "url", broa
     keys = materialize(listed.select("key").where("key is not null").distinct(), "listed")
     n = keys.count()
     blocks = max(1, -(-n * BITS_PER_URL // (32 * WORDS)))
-    filter_rows = bloom_blocks(keys, blocks)
+    filter_rows = bloom_blocks(keys, blocks).toDF("_loom_b", *[f"_loom_w{w}" for w in range(WORDS)])
     if blocks * WORDS * 8 <= broadcast_bytes:
         filter_rows = F.broadcast(filter_rows)
     block, masks = hashes(F.col("_loom_key"), blocks)
     named = pages.drop("listed").withColumn("_loom_key", canonical(F.col(url_col)))
     # URLs without a host are dealt over all blocks, lest they meet in one task
     dealt = named.withColumn("_loom_block", F.coalesce(block, F.pmod(F.xxhash64(F.col(url_col), F.rand(7)), F.lit(blocks))))
-    probed = dealt.withColumn("_loom_masks", masks).join(filter_rows, F.col("_loom_block") == F.col("block"), "left")
-    hit = F.coalesce(F.expr(" and ".join(f"w{w} & _loom_masks[{w}] <> 0" for w in range(WORDS))), F.lit(False))
+    probed = dealt.withColumn("_loom_masks", masks).join(filter_rows, F.col("_loom_block") == F.col("_loom_b"), "left")
+    hit = F.coalesce(F.expr(" and ".join(f"_loom_w{w} & _loom_masks[{w}] <> 0" for w in range(WORDS))), F.lit(False))
     probed = probed.withColumn("_loom_maybe", hit).select(*[F.col(f"`{c}`") for c in named.columns], "_loom_maybe")
     keep = [F.col(f"`{c}`") for c in pages.columns if c != "listed"]
     clear = probed.where(~F.col("_loom_maybe")).select(*keep, F.lit(False).alias("listed"))
     possible = probed.where("_loom_maybe")
-    exact = possible.join(keys.withColumn("_loom_hit", F.lit(True)), F.col("_loom_key") == F.col("key"), "left")
+    exact = possible.join(keys.select(F.col("key").alias("_loom_listed"), F.lit(True).alias("_loom_hit")), F.col("_loom_key") == F.col("_loom_listed"), "left")
     return clear.union(exact.select(*keep, F.coalesce("_loom_hit", F.lit(False)).alias("listed")))
 
 
