@@ -29,8 +29,8 @@ RULES = {
     "length": ("n_words < 20", "n_words >= 50"),
     "word_length": ("word_chars < 2 * n_words or word_chars > 12 * n_words", "word_chars between 3 * n_words and 9 * n_words"),
     "symbols": ("10 * n_symbols > n_words", "50 * n_symbols <= n_words"),
-    "lines": ("10 * n_dup_lines > 3 * n_lines", "10 * n_dup_lines <= n_lines"),
-    "repeats": ("100 * n_repeat_words > 20 * n_words", "10 * n_repeat_words <= n_words"),
+    "lines": ("n_dup_lines > 2 and 10 * n_dup_lines > 3 * n_lines", "n_dup_lines <= 1 or 10 * n_dup_lines <= n_lines"),
+    "repeats": ("100 * n_repeat_words > 30 * n_words", "10 * n_repeat_words <= n_words"),
     "capitals": ("10 * n_capitals > 3 * word_chars", "100 * n_capitals <= 15 * word_chars"),
     "shouts": ("10 * n_shouts > n_words", "50 * n_shouts <= n_words"),
     "function_words": ("50 * n_function < n_words", "10 * n_function >= n_words"),
