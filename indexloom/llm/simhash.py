@@ -6,7 +6,8 @@ document's word shingles. Two fingerprints link at `radius` differing bits or fe
 Covering tables: bit i carries the vector m(i) = 1 + i mod (2^(r+1) - 1) of GF(2)^(r+1); table v
 (any non-zero vector) keeps the bits with <m(i), v> = 1. At most r differing bits span a space of
 dimension r, so some v is orthogonal to all of them and the pair meets in table v: no pair within
-the radius is missed, and for r = 2 there are 7 tables of 36 or 37 bits.
+the radius is missed, and for r = 2 there are 7 tables of 36 or 37 bits. For r = 6, m(i) = 64 + i: all
+tables have 32 bits, but for one of 64, which only equal fingerprints share and which is left out.
 
 Large buckets: comparing all pairs of a bucket is quadratic. Beyond `pair_limit` members a bucket
 is linked through centres instead, which is exact for radius 2: two fingerprints are within two
@@ -74,13 +75,15 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return slim.mapInArrow(task, f"id {kind}, fp long").withColumnRenamed("id", id_col)
 
 
-def covering_masks(radius: int = 2) -> list[int]:
-    """The bit mask of each table, by the rule above."""
+def covering_masks(radius: int = 2, level: int = 0) -> list[int]:
+    """The bit mask of each table, by the rules above; a level above 0 deals the vectors to other bits."""
+    if not 0 <= radius <= 6:
+        raise ValueError("a covering of 64 bits has a radius of 0 to 6")
     vectors = (1 << (radius + 1)) - 1
-    return [
-        sum(1 << i for i in range(BITS) if bin((1 + i % vectors) & v).count("1") % 2)
-        for v in range(1, vectors + 1)
-    ]
+    dealt = [64 + i if radius == 6 else 1 + i % vectors for i in range(BITS)]
+    place = [(i * (2 * level + 1) * 29 + level) % BITS if level else i for i in range(BITS)]
+    masks = [sum(1 << i for i, m in zip(place, dealt) if (m & v).bit_count() % 2) for v in range(1, vectors + 1)]
+    return [m for m in masks if m != (1 << BITS) - 1 or radius == 0]
 
 
 def near_links(nodes: DataFrame, pair_limit: int = 64) -> DataFrame:
@@ -117,19 +120,106 @@ def near_links(nodes: DataFrame, pair_limit: int = 64) -> DataFrame:
     return pairs.union(stars)
 
 
-def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pair_limit: int = 64) -> DataFrame:
+def wide_links(nodes: DataFrame, radius: int, pair_limit: int = 20_000) -> DataFrame:
+    """Links (a, b) between fingerprints of at most `radius` differing bits, for any radius.
+
+    There are 2^(radius + 1) - 1 tables. A bucket's members meet in one task, sorted, and are compared there;
+    of the links those that join two sets are kept, fewer than the members. Buckets above `pair_limit` are
+    covered once more: the same tables, within the bucket, over other vectors for the bits.
+    """
+
+    def spread(rows: DataFrame, level: int) -> DataFrame:
+        masks = F.array(*[
+            F.struct(F.lit(t).alias("t"), F.lit(signed(m)).alias("m"))
+            for t, m in enumerate(covering_masks(radius, level))
+        ])
+        cells = rows.select("fp", "key", F.explode(masks).alias("x"))
+        keyed = cells.select(F.xxhash64("key", "x.t", F.col("fp").bitwiseAND(F.col("x.m"))).alias("key"), "fp")
+        return keyed.repartition("key").sortWithinPartitions("key")
+
+    rows, links = nodes.select("fp", F.lit(0).cast("long").alias("key")), None
+    for level in range(4):
+        most = pair_limit if level < 3 else None
+
+        def task(batches, most=most):
+            for key, members in runs(batches):
+                if most is not None and len(members) > most:
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(members), pa.array(members), pa.array(np.full(len(members), key))], names=["a", "b", "key"]
+                    )
+                elif found := forest(members, radius):
+                    a, b = zip(*found)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.nulls(len(a), pa.int64())], names=["a", "b", "key"]
+                    )
+
+        done = materialize(spread(rows, level).mapInArrow(task, "a long, b long, key long"), "links")
+        pairs = done.where("key is null").select("a", "b")
+        links = pairs if links is None else links.union(pairs)
+        rows = done.where("key is not null").select(F.col("a").alias("fp"), "key")
+        if rows.isEmpty():
+            break
+    return links
+
+
+def runs(batches):
+    """(key, fingerprints) of each key that has two or more, from batches (key, fp) sorted by key."""
+    keys, fps = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for batch in batches:
+        keys = np.concatenate([keys, batch.column(0).to_numpy()])
+        fps = np.concatenate([fps, batch.column(1).to_numpy()])
+        starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, int)
+        if len(starts) > 1:
+            yield from _several(keys, fps, starts)
+            keys, fps = keys[starts[-1] :], fps[starts[-1] :]
+    if len(keys) > 1:
+        yield int(keys[0]), fps
+
+
+def _several(keys, fps, starts):
+    sizes = np.diff(starts)
+    for k in np.flatnonzero(sizes > 1).tolist():
+        yield int(keys[starts[k]]), fps[starts[k] : starts[k + 1]]
+
+
+def forest(members: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """Pairs of members within the radius that connect what all such pairs connect."""
+    if len(members) == 2:
+        a, b = members.tolist()
+        return [(a, b)] if ((a ^ b) & (1 << BITS) - 1).bit_count() <= radius else []
+    root = np.arange(len(members))
+    out = []
+    for k in range(1, len(members)):
+        near = np.flatnonzero(np.bitwise_count((members[:k] ^ members[k]).view(np.uint64)) <= radius)
+        for r in np.unique(root[near]).tolist():
+            out.append((int(members[near[root[near] == r][0]]), int(members[k])))
+        if len(near):
+            root[: k + 1][np.isin(root[: k + 1], [*np.unique(root[near]), k])] = k
+    return out
+
+
+def near_classes(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 2, pair_limit: int = 64
+) -> DataFrame:
     """(id_col, fp, component_id) for every row of docs.
 
     component_id: the smallest id reachable over links, a row's own included. Equal fingerprints
     are one node, however many copies there are; documents without words share fingerprint 0.
     Rows whose id is null take part in linking, and get the smallest id that is not null, if any.
+    Radius 2 has links through centres beyond pair_limit; other radii see wide_links.
     """
-    prints = materialize(fingerprints(docs, id_col, text_col), "prints")
+    prints = materialize(fingerprints(docs, id_col, text_col, width), "prints")
     nodes = materialize(prints.groupBy("fp").agg(F.min(id_col).alias("rep")), "nodes")
-    roots = connected_components(near_links(nodes.where("rep is not null"), pair_limit))
-    classes = nodes.join(roots, nodes["rep"] == roots["node"], "left").select(
-        "fp", F.coalesce("root", "rep").alias("component_id")
-    )
+    if radius == 2:
+        roots = connected_components(near_links(nodes.where("rep is not null"), pair_limit))
+        classes = nodes.join(roots, nodes["rep"] == roots["node"], "left").select(
+            "fp", F.coalesce("root", "rep").alias("component_id")
+        )
+    else:
+        roots = connected_components(wide_links(nodes, radius))
+        sets = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "rep", F.coalesce("root", "fp").alias("set"))
+        heads = sets.groupBy("set").agg(F.min("rep").alias("component_id"))
+        classes = sets.join(heads, "set").select("fp", "component_id")
     return prints.join(materialize(classes, "classes"), "fp").select(id_col, "fp", "component_id")
 
 
@@ -138,12 +228,16 @@ def fingerprint_hex(fp: str) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 2, radius: int = 6
+) -> DataFrame:
     """The rows of docs whose id is their component's smallest: one document of each group.
 
-    Of rows that share that id, all stay, as do rows without an id.
+    Of rows that share that id, all stay, as do rows without an id. By default fingerprints are of word
+    pairs and link at six bits: texts whose five-word shingles are 0.8 similar differ in some six bits of
+    such a fingerprint, and unrelated ones in 18 or more.
     """
-    classes = near_classes(docs, id_col, text_col)
+    classes = near_classes(docs, id_col, text_col, width, radius)
     heads = classes.where(F.col("component_id") == F.col(id_col)).select(F.col(id_col).alias("_loom_id")).distinct()
     found = docs[id_col].isNull() | F.col("_loom_id").isNotNull()
     heads = heads.hint("shuffle_hash")  # the small side is hashed, so texts are not sorted

@@ -17,9 +17,9 @@ def lower(s):
     return re.sub("[A-Z]", lambda m: m[0].lower(), s)
 
 
-def print_of(text):
+def print_of(text, width=3):
     words = WORD.findall(lower(text or ""))
-    shingles = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or ([" ".join(words)] if words else [])
+    shingles = [" ".join(words[i : i + width]) for i in range(len(words) - width + 1)] or ([" ".join(words)] if words else [])
     hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
@@ -191,3 +191,46 @@ def test_registered_query_digest(spark):
     df = spark.createDataFrame([(1, text)], "doc_id long, text string")
     kept = linededup.drop_lines(df, linededup.line_bitmaps(df)).select(F.sha2("text", 256).alias("d")).first()["d"]
     assert kept == hashlib.sha256(text.encode()).hexdigest()
+
+
+@pytest.mark.parametrize("radius,limit", [(1, 20_000), (6, 20_000), (6, 20)])
+def test_wide_links(spark, radius, limit):
+    rng = random.Random(radius)
+    prints = set()
+    for c in [rng.getrandbits(64) for _ in range(4)]:
+        for _ in range(40):
+            prints.add(c ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(0, 9))))
+    nodes = spark.createDataFrame([(simhash.signed(p),) for p in prints], "fp long")
+    links = simhash.wide_links(nodes, radius, pair_limit=limit)
+    roots = {r["node"]: r["root"] for r in connected_components(links).collect()}
+    found, model = {}, {}
+    for p, c in classes(dict(zip(sorted(prints), sorted(prints))), radius).items():
+        model.setdefault(c, set()).add(p)
+        found.setdefault(roots.get(simhash.signed(p), simhash.signed(p)), set()).add(p)
+    assert sorted(map(sorted, found.values())) == sorted(map(sorted, model.values()))
+
+
+@pytest.mark.parametrize("radius", range(1, 7))
+def test_covering_of_every_radius(radius):
+    rng = random.Random(radius)
+    for level in range(3):
+        masks = simhash.covering_masks(radius, level)
+        for _ in range(2000):
+            bits = sum(1 << b for b in rng.sample(range(64), rng.randrange(1, radius + 1)))
+            assert any(not m & bits for m in masks)
+    with pytest.raises(ValueError):
+        simhash.covering_masks(7)
+
+
+def test_keep_one_catches_near_copies(spark):
+    rng = random.Random(1)
+    words = ["".join(rng.choices("abcdefghij", k=5)) for _ in range(500)]
+    rows = []
+    for k in range(60):
+        text = rng.choices(words, k=400)
+        rows.append((2 * k, " ".join(text)))
+        text[rng.randrange(400)] = "changed"
+        rows.append((2 * k + 1, " ".join(text) + " end"))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r["doc_id"] for r in simhash.keep_one(df).collect()}
+    assert kept >= {2 * k for k in range(60)} and len(kept) <= 63

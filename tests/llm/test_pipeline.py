@@ -45,7 +45,7 @@ def model(rows):
     good = posteriors_of(Counter(patterns.values()), quality.ROUNDS)
     rows = [r for r in rows if not (features[r[0]][0] < 20 or 100 * features[r[0]][4] > 30 * features[r[0]][0]) and good[patterns[r[0]]] >= 0.5]
     texts = {i: t for i, _, _, t in line_model([(r[0], r[1]) for r in rows])}
-    heads = classes({i: print_of(t) for i, t in texts.items()})
+    heads = classes({i: print_of(t, 2) for i, t in texts.items()}, 6)
     rows = [(*r[:1], texts[r[0]], *r[2:4]) for r in rows if heads[r[0]] == r[0]]
     sizes = Counter()
     for r in rows:
