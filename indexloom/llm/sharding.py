@@ -9,7 +9,8 @@ It runs in levels, so that nothing whole passes through a task or the driver:
 - All other groups are hashed over buckets. A task differences a bucket's groups together with the
   bucket's part of the heavy partition, so that the small groups fill the gaps that the heavy ones left.
 - Without heavy groups a bucket's shards have no names yet, and the driver differences the buckets'
-  partial partitions (`shards` numbers each).
+  partial partitions (`shards` numbers each). Beyond 1000 buckets the names are turned by one from bucket
+  to bucket instead: the few bytes by which a bucket of thousands of small groups is uneven then even out.
 
 Groups: rows with equal keys go to one shard. A group above a shard's whole fair share can't be placed
 evenly; its rows are dealt, by a hash of the id, over as many pieces as bring each to half a share.
@@ -30,6 +31,7 @@ from pyspark.sql import types as T
 from .common import materialize
 
 HEAVY = 1000  # a group is heavy above this part of a shard's fair share
+NAMED = 1000  # buckets whose partial partitions the driver differences at most
 
 def difference(sums: np.ndarray) -> np.ndarray:
     """For partial partitions (n, shards), the shard of each one's slots, by differencing.
@@ -127,10 +129,11 @@ def balanced_shards(rows: DataFrame, shards: int, bucket_groups: int = 20_000) -
 
     fields = "g1 long, g2 long, piece int, bytes long, bucket long, slot int"
     placed = materialize(spread.mapInArrow(task, fields), "placed")
-    if large:
-        located = placed.select("g1", "g2", "piece", F.col("slot").alias("shard"))
+    if large or n > NAMED:
+        turn = F.lit(0) if large else F.col("bucket")
+        located = placed.select("g1", "g2", "piece", F.pmod(F.col("slot") + turn, F.lit(shards)).cast("int").alias("shard"))
     else:
-        partial = placed.groupBy("bucket", "slot").agg(F.sum("bytes").alias("bytes")).collect()  # shards a bucket
+        partial = placed.groupBy("bucket", "slot").agg(F.sum("bytes").alias("bytes")).collect()  # NAMED * shards at most
         sums = np.zeros((n, shards), np.int64)
         for r in partial:
             sums[r["bucket"], r["slot"]] = r["bytes"]
@@ -192,7 +195,7 @@ def numbered(rows: DataFrame, order: str = "id") -> DataFrame:
     sizes = counted.groupBy("shard", "part").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     starts = sizes.select("shard", "part", F.coalesce(before, F.lit(0)).alias("start"))
-    joined = counted.join(F.broadcast(starts), ["shard", "part"])  # one row for each task and shard
+    joined = counted.join(starts, ["shard", "part"])  # one row for each task and shard: broadcast if small
     return joined.withColumn("slot", F.col("start") + F.col("local")).drop("part", "local", "start")
 
 

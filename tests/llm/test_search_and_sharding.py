@@ -109,3 +109,12 @@ def test_shards(spark):
     sizes = {r["doc_id"]: r["size"] for r in found if r["doc_id"] not in (None, 5)}
     assert all(sizes[i] == len((t or "").encode()) + 16 for i, t in enumerate(texts) if i != 5)
     assert sharding.shard_documents(df.limit(0), shards=8).count() == 0
+
+
+@pytest.mark.parametrize("named", [0, 1000])
+def test_many_buckets_of_small_groups(spark, named, monkeypatch):
+    monkeypatch.setattr(sharding, "NAMED", named)
+    rows = spark.range(9000).selectExpr("id", "20 + id % 37 as size", "xxhash64(id) as g1", "id as g2")
+    sums = [r["sum(size)"] for r in sharding.balanced_shards(rows, 4, bucket_groups=500).groupBy("shard").sum("size").collect()]
+    assert len(sums) == 4 and sum(sums) == sum(20 + k % 37 for k in range(9000))
+    assert max(sums) - min(sums) <= (2 if named else 100)
