@@ -168,18 +168,16 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs whose text is kept. Votes depend on the text alone, so equal texts fare alike.
 
-    Texts are scored twice, once for the pattern counts and once where the rows are filtered: that
-    costs CPU, but no text is shuffled.
+    The rows are written once with their pattern, so that the features are computed once; the pattern
+    counts read that column only, and no text is shuffled.
     """
-    counts = features(docs, id_col, text_col).groupBy(votes().alias("pattern")).agg(F.count("*").alias("n"))
-    good = materialize(posteriors(counts), "posteriors")
-    texts = docs.withColumn("_loom_row", F.struct(*[F.col(f"`{c}`") for c in docs.columns]))
-    scored = features(texts.select("_loom_row", F.col(text_col).alias("text")), "_loom_row", "text")
-    # a failed base check is part of the key, as a filter would be moved below the features and repeat them
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    scored = features(docs.select(row.alias("_loom_row"), F.col(text_col).alias("text")), "_loom_row", "text")
     failed = F.expr(f"CASE WHEN {BASE_FAILED} THEN '-' ELSE '' END")
-    scored = scored.withColumn("_loom_pattern", F.concat(votes(), failed))
-    good = F.broadcast(good.where("good >= 0.5").select(F.col("pattern").alias("_loom_pattern")))
-    return scored.join(good, "_loom_pattern", "left_semi").select("_loom_row.*")
+    scored = materialize(scored.select("_loom_row", votes().alias("pattern"), failed.alias("failed")), "scored")
+    good = materialize(posteriors(scored.groupBy("pattern").agg(F.count("*").alias("n"))), "posteriors")
+    good = F.broadcast(good.where("good >= 0.5").select("pattern"))  # 3 ** rules rows at most
+    return scored.where("failed = ''").join(good, "pattern", "left_semi").select("_loom_row.*")
 
 
 def _sql() -> str:
