@@ -205,21 +205,22 @@ def near_classes(
 
     component_id: the smallest id reachable over links, a row's own included. Equal fingerprints
     are one node, however many copies there are; documents without words share fingerprint 0.
-    Rows whose id is null take part in linking, and get the smallest id that is not null, if any.
+    Rows without an id get their class's id too; a fingerprint that only they have links to nothing.
     Radius 2 has links through centres beyond pair_limit; other radii see wide_links.
     """
     prints = materialize(fingerprints(docs, id_col, text_col, width), "prints")
     nodes = materialize(prints.groupBy("fp").agg(F.min(id_col).alias("rep")), "nodes")
+    named = nodes.where("rep is not null")
     if radius == 2:
-        roots = connected_components(near_links(nodes.where("rep is not null"), pair_limit))
-        classes = nodes.join(roots, nodes["rep"] == roots["node"], "left").select(
-            "fp", F.coalesce("root", "rep").alias("component_id")
-        )
+        links = near_links(named, pair_limit)
     else:
-        roots = connected_components(wide_links(nodes, radius))
-        sets = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "rep", F.coalesce("root", "fp").alias("set"))
-        heads = sets.groupBy("set").agg(F.min("rep").alias("component_id"))
-        classes = sets.join(heads, "set").select("fp", "component_id")
+        ends = [named.select(F.col("fp").alias(c), F.col("rep").alias(f"rep_{c}")) for c in "ab"]
+        links = wide_links(named, radius).distinct().join(ends[0], "a").join(ends[1], "b")
+        links = links.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
+    roots = connected_components(links)
+    classes = nodes.join(roots, nodes["rep"] == roots["node"], "left").select(
+        "fp", F.coalesce("root", "rep").alias("component_id")
+    )
     return prints.join(materialize(classes, "classes"), "fp").select(id_col, "fp", "component_id")
 
 
