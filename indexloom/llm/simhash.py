@@ -75,14 +75,45 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return slim.mapInArrow(task, f"id {kind}, fp long").withColumnRenamed("id", id_col)
 
 
+def ninth_power(x: int) -> int:
+    """x^9 in GF(64) over t^6 + t + 1, as a number below 8: three bits tell the eight values apart."""
+
+    def times(a: int, b: int) -> int:
+        out = 0
+        for k in range(6):
+            out ^= a << k if b >> k & 1 else 0
+        for k in range(10, 5, -1):
+            out ^= 0b1000011 << (k - 6) if out >> k & 1 else 0
+        return out
+
+    y = x
+    for _ in range(3):
+        y = times(y, y)
+    y = times(y, x)
+    return y & 3 | (y >> 3 & 1) << 2
+
+
 def covering_masks(radius: int = 2, level: int = 0) -> list[int]:
     """The bit mask of each table, by the rules above; a level above 0 deals the vectors to other bits."""
     if not 0 <= radius <= 6:
-        raise ValueError("a covering of 64 bits has a radius of 0 to 6")
+        raise ValueError("these coverings of 64 bits have a radius of 0 to 6; see wide_masks")
     vectors = (1 << (radius + 1)) - 1
-    dealt = [64 + i if radius == 6 else 1 + i % vectors for i in range(BITS)]
+    return _masks([64 + i if radius == 6 else 1 + i % vectors for i in range(BITS)], radius, level)
+
+
+def wide_masks(radius: int, level: int = 0) -> list[int]:
+    """covering_masks for a radius up to 9."""
+    if radius <= 6:
+        return covering_masks(radius, level)
+    if radius > 9:
+        raise ValueError("a covering of 64 bits has a radius of 0 to 9 here")
+    more = radius - 6
+    return _masks([(64 + i) << more | ninth_power(i) & ((1 << more) - 1) for i in range(BITS)], radius, level)
+
+
+def _masks(dealt: list[int], radius: int, level: int) -> list[int]:
     place = [(i * (2 * level + 1) * 29 + level) % BITS if level else i for i in range(BITS)]
-    masks = [sum(1 << i for i, m in zip(place, dealt) if (m & v).bit_count() % 2) for v in range(1, vectors + 1)]
+    masks = [sum(1 << i for i, m in zip(place, dealt) if (m & v).bit_count() % 2) for v in range(1, 1 << (radius + 1))]
     return [m for m in masks if m != (1 << BITS) - 1 or radius == 0]
 
 
@@ -121,7 +152,7 @@ def near_links(nodes: DataFrame, pair_limit: int = 64) -> DataFrame:
 
 
 def wide_links(nodes: DataFrame, radius: int, pair_limit: int = 20_000) -> DataFrame:
-    """Links (a, b) between fingerprints of at most `radius` differing bits, for any radius.
+    """Links (a, b) between fingerprints of at most `radius` differing bits, for a radius up to 9.
 
     There are 2^(radius + 1) - 1 tables. A bucket's members meet in one task, sorted, and are compared there;
     of the links those that join two sets are kept, fewer than the members. Buckets above `pair_limit` are
@@ -129,13 +160,11 @@ def wide_links(nodes: DataFrame, radius: int, pair_limit: int = 20_000) -> DataF
     """
 
     def spread(rows: DataFrame, level: int) -> DataFrame:
-        masks = F.array(*[
-            F.struct(F.lit(t).alias("t"), F.lit(signed(m)).alias("m"))
-            for t, m in enumerate(covering_masks(radius, level))
-        ])
-        cells = rows.select("fp", "key", F.explode(masks).alias("x"))
-        keyed = cells.select(F.xxhash64("key", "x.t", F.col("fp").bitwiseAND(F.col("x.m"))).alias("key"), "fp")
-        return keyed.repartition("key").sortWithinPartitions("key")
+        # the rows that are dealt do not carry their key: those of one fp for a task differ in the table alone
+        tables = F.array(*[F.lit(signed(m)) for m in wide_masks(radius, level)])
+        cells = rows.select("fp", "key", F.explode(F.sequence(F.lit(1), F.size(tables))).alias("t"))
+        key = F.xxhash64("key", "t", F.col("fp").bitwiseAND(F.element_at(tables, F.col("t"))))
+        return cells.repartition(key).select(key.alias("key"), "fp").sortWithinPartitions("key")
 
     rows, links = nodes.select("fp", F.lit(0).cast("long").alias("key")), None
     for level in range(4):
@@ -230,13 +259,13 @@ def fingerprint_hex(fp: str) -> Column:
 
 
 def keep_one(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 2, radius: int = 6
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 2, radius: int = 8
 ) -> DataFrame:
     """The rows of docs whose id is their component's smallest: one document of each group.
 
     Of rows that share that id, all stay, as do rows without an id. By default fingerprints are of word
-    pairs and link at six bits: texts whose five-word shingles are 0.8 similar differ in some six bits of
-    such a fingerprint, and unrelated ones in 18 or more.
+    pairs and link at eight bits: texts whose five-word shingles are 0.8 similar differ in some six bits of
+    such a fingerprint.
     """
     classes = near_classes(docs, id_col, text_col, width, radius)
     heads = classes.where(F.col("component_id") == F.col(id_col)).select(F.col(id_col).alias("_loom_id")).distinct()

@@ -234,3 +234,45 @@ def test_keep_one_catches_near_copies(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     kept = {r["doc_id"] for r in simhash.keep_one(df).collect()}
     assert kept >= {2 * k for k in range(60)} and len(kept) <= 63
+
+
+@pytest.mark.parametrize("radius", [7, 8, 9])
+def test_wide_masks(radius):
+    rng = random.Random(radius)
+    for level in range(3):
+        masks = simhash.wide_masks(radius, level)
+        assert len(masks) == 2 ** (radius + 1) - 2 and {m.bit_count() for m in masks} == {28, 32, 36}
+        for _ in range(2000):
+            bits = sum(1 << b for b in rng.sample(range(64), rng.randrange(1, radius + 1)))
+            assert any(not m & bits for m in masks)
+    with pytest.raises(ValueError):
+        simhash.wide_masks(10)
+
+
+@pytest.mark.parametrize("limit", [20_000, 20])
+def test_wide_links_at_eight_bits(spark, limit):
+    rng = random.Random(limit)
+    prints = set()
+    for c in [rng.getrandbits(64) for _ in range(4)]:
+        for _ in range(12):
+            prints.add(c ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(0, 11))))
+    nodes = spark.createDataFrame([(simhash.signed(p),) for p in prints], "fp long")
+    roots = {r["node"]: r["root"] for r in connected_components(simhash.wide_links(nodes, 8, pair_limit=limit)).collect()}
+    found, model = {}, {}
+    for p, c in classes(dict(zip(sorted(prints), sorted(prints))), 8).items():
+        model.setdefault(c, set()).add(p)
+        found.setdefault(roots.get(simhash.signed(p), simhash.signed(p)), set()).add(p)
+    assert sorted(map(sorted, found.values())) == sorted(map(sorted, model.values()))
+
+
+def test_keep_one_links_at_eight_bits(spark):
+    rng = random.Random(4)
+    words = ["".join(rng.choices("abcdefghij", k=5)) for _ in range(500)]
+    pair = None
+    while pair is None:
+        text = rng.choices(words, k=60)
+        near = [*text[:20], "changed", *text[21:40], "other", *text[41:]]
+        a, b = " ".join(text), " ".join(near)
+        if (print_of(a, 2) ^ print_of(b, 2)).bit_count() in (7, 8):
+            pair = [(1, a), (2, b)]
+    assert [r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(pair, "doc_id long, text string")).collect()] == [1]
