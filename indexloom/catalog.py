@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -498,11 +499,8 @@ def awhile_doubling(spark, d):
 SELECT i0, max(steps) AS v FROM c GROUP BY i0""")
 def while_collatz(spark, d):
     def steps(v, w):
-        start = F.struct((F.col("i0") + 1).alias("x"), long(0).alias("n"))
-        done = P.while_loop(start, 400, lambda s: s["x"] != 1, lambda s: F.struct(
-            F.when(s["x"] % 2 == 0, P.quot(s["x"], 2)).otherwise(3 * s["x"] + 1).alias("x"), (s["n"] + 1).alias("n")
-        ))
-        return {"v": done["n"]}
+        step = lambda x: np.where(x % 2 == 0, x // 2, 3 * x + 1)
+        return {"v": P.while_unbounded(F.col("i0") + 1, lambda x: x != 1, step)}
 
     return op.amap(parts(spark, d), steps).df
 
@@ -714,7 +712,7 @@ def derived_mandelbrot(spark, d):
                 (P.quot(2 * x * y, unit_) + (i - 12) * 384).alias("y"), (s["n"] + 1).alias("n"),
             )
 
-        return {"v": P.while_loop(start, 30, lambda s: s["x"] * s["x"] + s["y"] * s["y"] <= 4 * unit_ * unit_, step)["n"]}
+        return {"v": P.while_loop(start, 30, lambda s: (s["n"] < 30) & (s["x"] * s["x"] + s["y"] * s["y"] <= 4 * unit_ * unit_), step)["n"]}
 
     return generate(spark, (24, 32), escape).df
 

@@ -224,10 +224,30 @@ def to_word(x: Column, width: int) -> Column:
 
 
 def while_loop(state: Column, steps: int, running, step) -> Column:
-    """Apply step while running(state) holds, at most `steps` times; a bounded scalar loop."""
-    return F.aggregate(
-        F.sequence(F.lit(1), F.lit(steps)), state, lambda s, _: F.when(running(s), step(s)).otherwise(s)
+    """Apply step while running(state) holds; an error if it still holds after `steps` times."""
+    last = F.aggregate(
+        F.sequence(F.lit(1), F.lit(steps)), state, lambda s, _: F.when(running(s), step(s)).otherwise(s),
+        lambda s: F.struct(s.alias("s"), running(s).alias("on")),
     )
+    return F.when(last["on"], F.raise_error(F.lit(f"a loop still runs after {steps} steps"))).otherwise(last["s"])
+
+
+def while_unbounded(x: Column, running, step, kind: str = "long") -> Column:
+    """How many times step applies to x while running(x) holds, without a bound; both take and return a NumPy array.
+
+    Runs in Arrow batches, each until its last value is done. A null has a null count.
+    """
+    @F.pandas_udf("long")
+    def count(s):
+        known = np.flatnonzero(s.notna().to_numpy())
+        state, out = s.dropna().to_numpy(np.int64 if kind == "long" else np.float64), np.zeros(len(s), np.int64)
+        at = known
+        while len(on := np.flatnonzero(running(state))):
+            at, state = at[on], step(state[on])
+            out[at] += 1
+        return pd.Series(out, dtype="Int64").where(s.notna().to_numpy())
+
+    return count(x.cast(kind))
 
 
 def case_of(tag: Column, branches: dict[int, Column], default: Column | None = None) -> Column:

@@ -110,3 +110,17 @@ def test_structure(spark):
     with pytest.raises(Exception, match="no branch"):
         each(spark, [2], "long", P.case_of(x, {0: F.lit("a")}))
     assert each(spark, [1.0, -2.0], "double", P.bits_of(x)) == [(0x3FF0 << 48,), (wrap(0xC000 << 48),)]
+
+
+def test_loops_end_or_raise(spark):
+    x = F.col("x")
+    with pytest.raises(Exception, match="still runs"):
+        each(spark, [1024], "long", P.while_loop(x, 9, lambda s: s > 1, lambda s: P.quot(s, 2)))
+    assert each(spark, [1024], "long", P.while_loop(x, 10, lambda s: s > 1, lambda s: P.quot(s, 2))) == [(1,)]
+
+
+def test_collatz_needs_over_400_steps(spark, tmp_path):
+    from indexloom import catalog
+
+    spark.sql("select 230630L p_partkey, 1.0D p_retailprice, 1 p_size").write.parquet(str(tmp_path / "part.parquet"))
+    assert [tuple(r) for r in catalog.while_collatz(spark, str(tmp_path)).select("v").collect()] == [(442,)]
