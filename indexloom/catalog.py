@@ -356,6 +356,12 @@ def scanl1_ordered_affine(spark, d):
     return op.scanl1(op.take(affine_events(spark, d), 900), affine).df.select("i0", "v.a", "v.b")
 
 
+@query()
+def scanl1_affine_events(spark, d):
+    """The whole table; scanl1_ordered_affine is its first 900 elements, as its SQL is quadratic."""
+    return op.scanl1(affine_events(spark, d), affine).df.select("i0", "v.a", "v.b")
+
+
 # scatter
 
 

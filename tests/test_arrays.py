@@ -265,3 +265,19 @@ def test_ahead_of_time_example(spark):
     assert op.fold(op.amap(a, lambda v: {"v": v + 1}), M.SUM, long(0)).collect() == [n * (n + 1) // 2 + n]
     xs, ys = vec(spark, RAMP), vec(spark, list(range(1, 20, 2)))
     assert op.fold(op.zip_with(lambda x, y: {"v": x * y}, xs, ys), M.SUM, long(0)).collect() == [615]
+
+
+def test_affine_scan_of_the_whole_table(spark, tmp_path):
+    from indexloom import catalog
+
+    values = [(k * 7919 % 4001 - 2000) for k in range(1500)]
+    rows = [(k, v / 100) for k, v in enumerate(values)]
+    spark.createDataFrame(rows, "event_id long, value double").write.parquet(str(tmp_path / "events.parquet"))
+    got = [tuple(r) for r in catalog.scanl1_affine_events(spark, str(tmp_path)).orderBy("i0").collect()]
+    prime, out = catalog.PRIME, []
+    for k, v in enumerate(values):
+        a, b = v % 997, v % 1009
+        if out:
+            a, b = out[-1][1] * a % prime, (out[-1][2] * a + b) % prime
+        out.append((k, a, b))
+    assert got == out
