@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
 _own_dirs: dict[str, str] = {}
+_written: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()  # where materialize has put a table
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,7 +53,29 @@ def materialize(df: DataFrame, label: str, **options: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _written[table] = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of materialize that nothing will read again: what came of them has been written.
+
+    DataFrames of another origin are left alone.
+    """
+    for df in tables:
+        if path := _written.pop(df, None):
+            place = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
+
+
+def written_bytes(table: DataFrame) -> int | None:
+    """The size of a table of materialize, from its files; None for other DataFrames."""
+    if not (path := _written.get(table)):
+        return None
+    place = table.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf())
+    return files.getContentSummary(place).getLength()
 
 
 def lower_ascii(col: Column) -> Column:

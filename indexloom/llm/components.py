@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -28,26 +28,32 @@ def connected_components(edges: DataFrame) -> DataFrame:
     roots = None
     while not links.isEmpty():
         both = links.union(links.select("b", "a"))
-        hooked = both.groupBy("a").agg(F.min("b").alias("b")).select(
+        hooks = both.groupBy("a").agg(F.min("b").alias("b")).select(
             F.col("a").alias("node"), F.least("a", "b").alias("root")
         )
-        hooked = materialize(_doubled(materialize(hooked, "hooks")), "hooks")
-        hooked = materialize(_doubled(hooked), "hooks")
-        ends = [hooked.select(F.col("node").alias(c), F.col("root").alias(f"to_{c}")) for c in "ab"]
+        hooks = materialize(hooks, "hooks")
+        for _ in range(2):
+            doubled = materialize(_doubled(hooks), "hooks")
+            discard(hooks)
+            hooks = doubled
+        ends = [hooks.select(F.col("node").alias(c), F.col("root").alias(f"to_{c}")) for c in "ab"]
         moved = links.join(ends[0], "a").join(ends[1], "b").select(
             F.col("to_a").alias("a"), F.col("to_b").alias("b")
         )
-        links = materialize(tidy(moved), "links")
+        before, links = links, materialize(tidy(moved), "links")
+        discard(before)
         if roots is None:
-            roots = hooked
+            roots = hooks
         else:
-            step = hooked.select(F.col("node").alias("root"), F.col("root").alias("next"))
-            roots = materialize(
+            step = hooks.select(F.col("node").alias("root"), F.col("root").alias("next"))
+            before, roots = roots, materialize(
                 roots.join(step, "root", "left").select("node", F.coalesce("next", "root").alias("root")),
                 "roots",
             )
+            discard(before, hooks)
     if roots is None:
         return links.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    discard(links)
     return roots
 
 

@@ -14,6 +14,15 @@ is linked through centres instead, which is exact for radius 2: two fingerprints
 bits just if they have a common neighbour at one bit or less, so each member meets the others at
 its own value with any one free bit flipped (at most 28 + 1 values), and those that meet at one
 value (28 + 1 at most) are linked to the smallest of them.
+
+Near copies (`keep_one`): the contract asks for five-word shingles and a similarity of 0.8. A pair's
+fingerprints of those differ in some ten bits, beyond any selective covering. So documents are found by
+the fingerprint of their distinct words, of which such pairs differ in three bits on average, within six
+bits, and a link counts if the fingerprints of the five-word shingles agree as those of similar texts do.
+The first few tables are settled before the others, whose rows then carry their group: what is in one group
+already is neither compared nor linked again, so that a large group costs about one link for each member.
+
+Texts of any length are hashed in chunks; nulls, repeats and empty tables are told by each function.
 """
 
 from __future__ import annotations
@@ -26,12 +35,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, signed
+from .common import discard, materialize, signed
 from .components import connected_components
 
 BITS = 64
 SEED = 42
 CHUNK = 1 << 15
+FIRST_TABLES = 6  # of a wide covering, settled before the others
 
 
 def shingle_hashes(text: bytes, width: int):
@@ -48,11 +58,8 @@ def shingle_hashes(text: bytes, width: int):
     return (digest(line[s : e - 1], SEED) for s, e in zip(starts, ends)), len(ends)
 
 
-def fingerprint(text: bytes | None, width: int = 3) -> int:
-    """The SimHash of one text, unsigned; 0 without words."""
-    hashes, n = shingle_hashes(text or b"", width)
-    if not n:
-        return 0
+def _majority(hashes, n: int) -> int:
+    """The bits set in over half of n hashes, as an unsigned number."""
     ones = np.zeros(BITS, np.int64)
     for at in range(0, n, CHUNK):
         part = np.fromiter(hashes, np.uint64, min(CHUNK, n - at))
@@ -61,18 +68,40 @@ def fingerprint(text: bytes | None, width: int = 3) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """(id_col, fp long) for every row; a null text has no words."""
+def fingerprint(text: bytes | None, width: int = 3) -> int:
+    """The SimHash of one text, unsigned; 0 without words."""
+    hashes, n = shingle_hashes(text or b"", width)
+    return _majority(hashes, n) if n else 0
+
+
+def set_fingerprint(text: bytes | None, width: int) -> int:
+    """The SimHash of a text's different shingles, each of which counts once."""
+    hashes, n = shingle_hashes(text or b"", width)
+    different = set(hashes)
+    return _majority(iter(different), len(different)) if n else 0
+
+
+def _printed(docs: DataFrame, carried: dict[str, Column], text_col: str, prints: dict) -> DataFrame:
+    """The carried columns, and for each print of the text (name: function) a long, for every row."""
 
     def task(batches):
         for batch in batches:
-            texts = batch.column(1).cast(pa.binary())
-            fps = np.fromiter((fingerprint(t.as_py(), width) for t in texts), np.uint64, len(texts))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["id", "fp"])
+            texts = batch.column(at).cast(pa.binary())
+            found = [np.fromiter((f(t.as_py()) for t in texts), np.uint64, len(texts)) for f in functions]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:at], *[pa.array(x.view(np.int64)) for x in found]], names=names)
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return slim.mapInArrow(task, f"id {kind}, fp long").withColumnRenamed("id", id_col)
+    names, functions, at = [*carried, *prints], list(prints.values()), len(carried)
+    slim = docs.select(*[c.alias(n) for n, c in carried.items()], F.col(text_col).alias("_text"))
+    shape = slim.drop("_text").schema
+    for name in prints:
+        shape = shape.add(name, "long")
+    return slim.mapInArrow(task, shape)
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
+    """(id_col, fp long) for every row; a null text has no words."""
+    printed = _printed(docs, {"id": F.col(id_col)}, text_col, {"fp": lambda text: fingerprint(text, width)})
+    return printed.withColumnRenamed("id", id_col)
 
 
 def ninth_power(x: int) -> int:
@@ -93,27 +122,16 @@ def ninth_power(x: int) -> int:
     return y & 3 | (y >> 3 & 1) << 2
 
 
-def covering_masks(radius: int = 2, level: int = 0) -> list[int]:
-    """The bit mask of each table, by the rules above; a level above 0 deals the vectors to other bits."""
-    if not 0 <= radius <= 6:
-        raise ValueError("these coverings of 64 bits have a radius of 0 to 6; see wide_masks")
-    vectors = (1 << (radius + 1)) - 1
-    return _masks([64 + i if radius == 6 else 1 + i % vectors for i in range(BITS)], radius, level)
-
-
-def wide_masks(radius: int, level: int = 0) -> list[int]:
-    """covering_masks for a radius up to 9."""
-    if radius <= 6:
-        return covering_masks(radius, level)
-    if radius > 9:
+def covering_masks(radius: int = 2) -> list[int]:
+    """The bit mask of each table, by the rules above; beyond six bits m(i) also has a part of i^9."""
+    if not 0 <= radius <= 9:
         raise ValueError("a covering of 64 bits has a radius of 0 to 9 here")
-    more = radius - 6
-    return _masks([(64 + i) << more | ninth_power(i) & ((1 << more) - 1) for i in range(BITS)], radius, level)
-
-
-def _masks(dealt: list[int], radius: int, level: int) -> list[int]:
-    place = [(i * (2 * level + 1) * 29 + level) % BITS if level else i for i in range(BITS)]
-    masks = [sum(1 << i for i, m in zip(place, dealt) if (m & v).bit_count() % 2) for v in range(1, 1 << (radius + 1))]
+    vectors, more = (1 << (radius + 1)) - 1, max(0, radius - 6)
+    if radius < 6:
+        dealt = [1 + i % vectors for i in range(BITS)]
+    else:
+        dealt = [(64 + i) << more | ninth_power(i) & ((1 << more) - 1) for i in range(BITS)]
+    masks = [sum(1 << i for i, m in enumerate(dealt) if (m & v).bit_count() % 2) for v in range(1, vectors + 1)]
     return [m for m in masks if m != (1 << BITS) - 1 or radius == 0]
 
 
@@ -151,106 +169,138 @@ def near_links(nodes: DataFrame, pair_limit: int = 64) -> DataFrame:
     return pairs.union(stars)
 
 
-def wide_links(nodes: DataFrame, radius: int, pair_limit: int = 20_000) -> DataFrame:
-    """Links (a, b) between fingerprints of at most `radius` differing bits, for a radius up to 9.
+def wide_links(
+    nodes: DataFrame, radius: int, apart: int = BITS, tables: slice = slice(None), pair_limit: int = 20_000
+) -> DataFrame:
+    """Links (a, b) between the groups of nodes (group, fp, check) that are near each other.
+
+    Near: fp differs in at most `radius` bits (up to 9) and check in at most `apart`. Of the covering, only
+    `tables` are taken. Members of one bucket meet in one task, sorted, and are compared there; of the links
+    those that join two groups are kept, fewer than the members. A bucket above `pair_limit` is cut into
+    blocks by hash, and each pair of blocks is a task's: every pair is still compared, in bounded memory.
+    """
+    masks = covering_masks(radius)[tables]
+    array = F.array(*[F.lit(signed(m)) for m in masks])
 
-    There are 2^(radius + 1) - 1 tables. A bucket's members meet in one task, sorted, and are compared there;
-    of the links those that join two sets are kept, fewer than the members. Buckets above `pair_limit` are
-    covered once more: the same tables, within the bucket, over other vectors for the bits.
+    def task(batches):
+        for key, rows, whole in buckets(batches, pair_limit):
+            if whole:
+                found = forest(rows, radius, apart)
+                columns, n = [found[:, 0], found[:, 1], None, None, None], len(found)
+            else:
+                columns, n = [rows[:, 0], None, rows[:, 1], rows[:, 2], np.full(len(rows), key)], len(rows)
+            if n:
+                arrays = [pa.nulls(n, pa.int64()) if c is None else pa.array(np.ascontiguousarray(c)) for c in columns]
+                yield pa.RecordBatch.from_arrays(arrays, names=["a", "b", "fp", "check", "key"])
+
+    fields = "a long, b long, fp long, check long, key long"
+    # the rows that are dealt do not carry their key: those of one fp for a task differ in the table alone
+    cells = nodes.select("group", "fp", "check", F.explode(F.sequence(F.lit(1), F.lit(len(masks)))).alias("t"))
+    key = F.xxhash64("t", F.col("fp").bitwiseAND(F.element_at(array, F.col("t"))))
+    dealt = cells.repartition(key).select(key.alias("key"), "group", "fp", "check").sortWithinPartitions("key")
+    done = materialize(dealt.mapInArrow(task, fields), "links")
+    links = done.where("key is null").select("a", "b")
+    large = done.where("key is not null").select(F.col("a").alias("group"), "fp", "check", "key")
+    if large.isEmpty():
+        return links
+    parts = large.groupBy("key").agg(F.ceil(F.count("*") / pair_limit).cast("int").alias("parts"))
+    own = F.pmod(F.xxhash64("group", "fp", "check"), F.col("parts")).cast("int")
+    paired = large.join(parts, "key").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    meet = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
+    paired = paired.repartition(meet).select(meet.alias("key"), "group", "fp", "check").sortWithinPartitions("key")
+
+    def block_task(batches):
+        for _, rows, _ in buckets(batches, None):  # two blocks: some 2 * pair_limit rows
+            if len(found := forest(rows, radius, apart)):
+                yield pa.RecordBatch.from_arrays([pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy())], names=["a", "b"])
+
+    return links.union(materialize(paired.mapInArrow(block_task, "a long, b long"), "links"))
+
+
+def buckets(batches, most: int | None):
+    """(key, rows, whole) of each key with two rows or more, from batches sorted by their first column.
+
+    rows: the other columns as a matrix of longs. A key with more than `most` rows comes in pieces, not whole.
     """
+    key, held, size = None, [], 0
+
+    def closed():
+        if held and size > 1:
+            yield key, np.concatenate(held), most is None or size <= most
 
-    def spread(rows: DataFrame, level: int) -> DataFrame:
-        # the rows that are dealt do not carry their key: those of one fp for a task differ in the table alone
-        tables = F.array(*[F.lit(signed(m)) for m in wide_masks(radius, level)])
-        cells = rows.select("fp", "key", F.explode(F.sequence(F.lit(1), F.size(tables))).alias("t"))
-        key = F.xxhash64("key", "t", F.col("fp").bitwiseAND(F.element_at(tables, F.col("t"))))
-        return cells.repartition(key).select(key.alias("key"), "fp").sortWithinPartitions("key")
-
-    rows, links = nodes.select("fp", F.lit(0).cast("long").alias("key")), None
-    for level in range(4):
-        most = pair_limit if level < 3 else None
-
-        def task(batches, most=most):
-            for key, members in runs(batches):
-                if most is not None and len(members) > most:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(members), pa.array(members), pa.array(np.full(len(members), key))], names=["a", "b", "key"]
-                    )
-                elif found := forest(members, radius):
-                    a, b = zip(*found)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.nulls(len(a), pa.int64())], names=["a", "b", "key"]
-                    )
-
-        done = materialize(spread(rows, level).mapInArrow(task, "a long, b long, key long"), "links")
-        pairs = done.where("key is null").select("a", "b")
-        links = pairs if links is None else links.union(pairs)
-        rows = done.where("key is not null").select(F.col("a").alias("fp"), "key")
-        if rows.isEmpty():
-            break
-    return links
-
-
-def runs(batches):
-    """(key, fingerprints) of each key that has two or more, from batches (key, fp) sorted by key."""
-    keys, fps = np.zeros(0, np.int64), np.zeros(0, np.int64)
     for batch in batches:
-        keys = np.concatenate([keys, batch.column(0).to_numpy()])
-        fps = np.concatenate([fps, batch.column(1).to_numpy()])
-        starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, int)
-        if len(starts) > 1:
-            yield from _several(keys, fps, starts)
-            keys, fps = keys[starts[-1] :], fps[starts[-1] :]
-    if len(keys) > 1:
-        yield int(keys[0]), fps
-
-
-def _several(keys, fps, starts):
-    sizes = np.diff(starts)
-    for k in np.flatnonzero(sizes > 1).tolist():
-        yield int(keys[starts[k]]), fps[starts[k] : starts[k + 1]]
-
-
-def forest(members: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Pairs of members within the radius that connect what all such pairs connect."""
-    if len(members) == 2:
-        a, b = members.tolist()
-        return [(a, b)] if ((a ^ b) & (1 << BITS) - 1).bit_count() <= radius else []
-    root = np.arange(len(members))
-    out = []
-    for k in range(1, len(members)):
-        near = np.flatnonzero(np.bitwise_count((members[:k] ^ members[k]).view(np.uint64)) <= radius)
-        for r in np.unique(root[near]).tolist():
-            out.append((int(members[near[root[near] == r][0]]), int(members[k])))
-        if len(near):
-            root[: k + 1][np.isin(root[: k + 1], [*np.unique(root[near]), k])] = k
-    return out
-
-
-def near_classes(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 2, pair_limit: int = 64
-) -> DataFrame:
-    """(id_col, fp, component_id) for every row of docs.
+        keys = batch.column(0).to_numpy()
+        if not len(keys):
+            continue
+        rows = np.column_stack([c.to_numpy() for c in batch.columns[1:]])
+        starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        ends = np.append(starts[1:], len(keys))
+        first = 0
+        if key is not None and keys[0] == key:
+            first = 1
+            held.append(rows[: ends[0]])
+            size += int(ends[0])
+            if most is not None and size > most:
+                yield key, np.concatenate(held), False
+                held = []
+            if len(starts) == 1:
+                continue
+        yield from closed()
+        for k in (np.flatnonzero((ends - starts)[first:-1] > 1) + first).tolist():
+            yield int(keys[starts[k]]), rows[starts[k] : ends[k]], most is None or ends[k] - starts[k] <= most
+        key, held, size = int(keys[-1]), [rows[starts[-1] :]], len(keys) - int(starts[-1])
+    yield from closed()
+
+
+def forest(rows: np.ndarray, radius: int, apart: int) -> np.ndarray:
+    """Pairs of groups that connect what all near pairs of rows (group, fp, check) connect."""
+    group, fp, check = (np.ascontiguousarray(c) for c in rows.T)
+    out: list[tuple[int, int]] = []
+    if (group == group[0]).all():
+        return np.zeros((0, 2), np.int64)
+    root = np.unique(group, return_inverse=True)[1]
+    for k in range(1, len(group)):
+        near = np.bitwise_count((fp[:k] ^ fp[k]).view(np.uint64)) <= radius
+        near &= np.bitwise_count((check[:k] ^ check[k]).view(np.uint64)) <= apart
+        near &= root[:k] != root[k]
+        found = np.flatnonzero(near)
+        if len(found):
+            joined, first = np.unique(root[found], return_index=True)
+            out += [(int(group[found[f]]), int(group[k])) for f in first.tolist()]
+            root[np.isin(root, joined)] = root[k]
+    return np.array(out, np.int64).reshape(-1, 2)
+
+
+def near_groups(nodes: DataFrame, radius: int, apart: int = BITS, pair_limit: int = 20_000) -> DataFrame:
+    """(node, group) of nodes (node, fp, check): the components over near pairs, named by one of their nodes."""
+    current = nodes.select("node", "fp", "check", F.col("node").alias("group"))
+    rounds = [slice(FIRST_TABLES), slice(FIRST_TABLES, None)] if len(covering_masks(radius)) > FIRST_TABLES else [slice(None)]
+    for tables in rounds:
+        found = connected_components(wide_links(current, radius, apart, tables, pair_limit))
+        moved = current.join(found.select(F.col("node").alias("group"), "root"), "group", "left")
+        before, current = current, materialize(
+            moved.select("node", "fp", "check", F.coalesce("root", "group").alias("group")), "groups"
+        )
+        discard(before, found)
+    return current.select("node", "group")
+
+
+def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, pair_limit: int = 64) -> DataFrame:
+    """(id_col, fp, component_id) for every row of docs, at two differing bits.
 
     component_id: the smallest id reachable over links, a row's own included. Equal fingerprints
     are one node, however many copies there are; documents without words share fingerprint 0.
     Rows without an id get their class's id too; a fingerprint that only they have links to nothing.
-    Radius 2 has links through centres beyond pair_limit; other radii see wide_links.
     """
     prints = materialize(fingerprints(docs, id_col, text_col, width), "prints")
     nodes = materialize(prints.groupBy("fp").agg(F.min(id_col).alias("rep")), "nodes")
-    named = nodes.where("rep is not null")
-    if radius == 2:
-        links = near_links(named, pair_limit)
-    else:
-        ends = [named.select(F.col("fp").alias(c), F.col("rep").alias(f"rep_{c}")) for c in "ab"]
-        links = wide_links(named, radius).distinct().join(ends[0], "a").join(ends[1], "b")
-        links = links.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
-    roots = connected_components(links)
+    roots = connected_components(near_links(nodes.where("rep is not null"), pair_limit))
     classes = nodes.join(roots, nodes["rep"] == roots["node"], "left").select(
         "fp", F.coalesce("root", "rep").alias("component_id")
     )
-    return prints.join(materialize(classes, "classes"), "fp").select(id_col, "fp", "component_id")
+    classes = materialize(classes, "classes")
+    discard(nodes, roots)
+    return prints.join(classes, "fp").select(id_col, "fp", "component_id")
 
 
 def fingerprint_hex(fp: str) -> Column:
@@ -259,16 +309,26 @@ def fingerprint_hex(fp: str) -> Column:
 
 
 def keep_one(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 2, radius: int = 8
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, radius: int = 6, apart: int = 16
 ) -> DataFrame:
-    """The rows of docs whose id is their component's smallest: one document of each group.
+    """One row of docs for each group of near copies: that with the smallest id, a null id being the largest.
 
-    Of rows that share that id, all stay, as do rows without an id. By default fingerprints are of word
-    pairs and link at eight bits: texts whose five-word shingles are 0.8 similar differ in some six bits of
-    such a fingerprint.
+    Texts are near if the fingerprints of their distinct words differ in at most `radius` bits, and those of
+    their shingles of `width` words in at most `apart`: of pairs whose five-word shingles are 0.8 similar that
+    finds 95 %. Texts without words are one group. Of rows with equal id and text any one stays, also where
+    the id is null; of rows that share an id but not the text, one.
     """
-    classes = near_classes(docs, id_col, text_col, width, radius)
-    heads = classes.where(F.col("component_id") == F.col(id_col)).select(F.col(id_col).alias("_loom_id")).distinct()
-    found = docs[id_col].isNull() | F.col("_loom_id").isNotNull()
-    heads = heads.hint("shuffle_hash")  # the small side is hashed, so texts are not sorted
-    return docs.join(heads, docs[id_col] == heads["_loom_id"], "left").where(found).drop("_loom_id")
+    text = F.col(text_col)
+    keys = {"k1": F.xxhash64(id_col, text), "k2": F.xxhash64(F.lit("copy"), id_col, text)}  # of (id, text), 128 bits
+    prints = {"fp": lambda t: set_fingerprint(t, 1), "check": lambda t: set_fingerprint(t, width)}
+    rows = materialize(_printed(docs, keys | {"id": F.col(id_col)}, text_col, prints), "prints")
+    head = F.struct(F.col("id").isNull().alias("none"), "id", "k1", "k2")
+    nodes = rows.groupBy("fp", "check").agg(F.min(head).alias("head")).withColumn("node", F.monotonically_increasing_id())
+    nodes = materialize(nodes, "nodes")  # written once, so a node keeps its number
+    groups = near_groups(nodes, radius, apart)
+    heads = nodes.join(groups, "node").groupBy("group").agg(F.min("head").alias("head"))
+    heads = materialize(heads.select(F.col("head.k1").alias("_loom_k1"), F.col("head.k2").alias("_loom_k2")), "heads")
+    discard(rows, nodes, groups)
+    # repeated rows go before the shuffle; the join then finds the rows dealt and sorted by its keys
+    single = docs.withColumns({"_loom_k1": keys["k1"], "_loom_k2": keys["k2"]}).dropDuplicates(["_loom_k1", "_loom_k2"])
+    return single.join(heads, ["_loom_k1", "_loom_k2"], "left_semi").drop("_loom_k1", "_loom_k2")

@@ -158,7 +158,7 @@ def test_word_hashes_do_not_depend_on_segments(monkeypatch):
         licenses.template_table(None, [("x", "two words")], 3)
 
 
-def copies_of(u, rate):
+def draw_of(u, rate):
     log, total, k = -rate, math.exp(-rate), 0
     while total < u and k < 5000:
         k += 1
@@ -181,7 +181,7 @@ def test_poisson_counts(spark):
     rates = {s: targets[s] / sum(targets.values()) * sum(sizes.values()) / n for s, n in sizes.items()}
     for i, _, s in rows:
         u = (int(hashlib.md5(f"poisson17|{i}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
-        assert found[i] == copies_of(u, rates[s]), i
+        assert found[i] == draw_of(u, rates[s]), i
     mixed = mixing.mix_sources(df)
     assert mixed.columns.count("copy") == 1 and mixed.where("source is null").count() > 0
 

@@ -5,8 +5,8 @@ import random
 from collections import Counter
 
 import pytest
-from test_dedup import classes, line_model, print_of
-from test_filters import copies_of, features_of, posteriors_of
+from test_dedup import copies_of, line_model
+from test_filters import draw_of, features_of, posteriors_of
 from test_tokens import library
 
 import corpus_pipeline
@@ -45,7 +45,7 @@ def model(rows):
     good = posteriors_of(Counter(patterns.values()), quality.ROUNDS)
     rows = [r for r in rows if not (features[r[0]][0] < 20 or 100 * features[r[0]][4] > 30 * features[r[0]][0]) and good[patterns[r[0]]] >= 0.5]
     texts = {i: t for i, _, _, t in line_model([(r[0], r[1]) for r in rows])}
-    heads = classes({i: print_of(t, 2) for i, t in texts.items()}, 6)
+    heads = copies_of(texts)
     rows = [(*r[:1], texts[r[0]], *r[2:4]) for r in rows if heads[r[0]] == r[0]]
     sizes = Counter()
     for r in rows:
@@ -54,7 +54,7 @@ def model(rows):
     out = Counter()
     for i, text, _, source in rows:
         u = (int(hashlib.md5(f"poisson17|{i}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
-        n = copies_of(u, targets[source] / sum(targets.values()) * sum(sizes.values()) / sizes[source])
+        n = draw_of(u, targets[source] / sum(targets.values()) * sum(sizes.values()) / sizes[source])
         ids, decoded = library("word_bpe_49k.json", [text], decode=True)
         if n:
             out[i, tuple(ids[0]), hashlib.sha256(decoded[0].encode()).hexdigest()] += n
