@@ -17,8 +17,8 @@ value (28 + 1 at most) are linked to the smallest of them.
 
 Near copies (`keep_one`): the contract asks for five-word shingles and a similarity of 0.8. A pair's
 fingerprints of those differ in some ten bits, beyond any selective covering. So documents are found by
-the fingerprint of their distinct words, of which such pairs differ in three bits on average, within six
-bits, and a link counts if the fingerprints of the five-word shingles agree as those of similar texts do.
+the fingerprint of their words, each weighted by the root of its count: it differs in three bits on average,
+and few such pairs differ in more than six. A link counts if the fingerprints of the five-word shingles agree as those of similar texts do.
 The first few tables are settled before the others, whose rows then carry their group: what is in one group
 already is neither compared nor linked again, so that a large group costs about one link for each member.
 
@@ -27,7 +27,9 @@ Texts of any length are hashed in chunks; nulls, repeats and empty tables are to
 
 from __future__ import annotations
 
+from collections import Counter
 from itertools import accumulate
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -58,14 +60,15 @@ def shingle_hashes(text: bytes, width: int):
     return (digest(line[s : e - 1], SEED) for s, e in zip(starts, ends)), len(ends)
 
 
-def _majority(hashes, n: int) -> int:
-    """The bits set in over half of n hashes, as an unsigned number."""
+def _majority(hashes, n: int, weights: np.ndarray | None = None) -> int:
+    """The bits set in over half of n hashes, or of their weights, as an unsigned number."""
     ones = np.zeros(BITS, np.int64)
     for at in range(0, n, CHUNK):
         part = np.fromiter(hashes, np.uint64, min(CHUNK, n - at))
         bits = np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones += bits.sum(axis=0, dtype=np.uint32)
-    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
+        ones += bits.sum(axis=0, dtype=np.uint32) if weights is None else weights[at : at + CHUNK] @ bits
+    whole = n if weights is None else int(weights.sum())
+    return int(np.packbits(2 * ones > whole, bitorder="little").view("<u8")[0])
 
 
 def fingerprint(text: bytes | None, width: int = 3) -> int:
@@ -81,6 +84,14 @@ def set_fingerprint(text: bytes | None, width: int) -> int:
     return _majority(iter(different), len(different)) if n else 0
 
 
+def word_fingerprint(text: bytes | None) -> int:
+    """The SimHash of a text's words, each weighted by the square root of its count, in quarters."""
+    counts = Counter((text or b"").lower().split())
+    weights = np.fromiter((isqrt(16 * n) for n in counts.values()), np.int64, len(counts))
+    hashes = (xxhash.xxh64_intdigest(w, SEED) for w in counts)
+    return _majority(hashes, len(counts), weights) if counts else 0
+
+
 def _printed(docs: DataFrame, carried: dict[str, Column], text_col: str, prints: dict) -> DataFrame:
     """The carried columns, and for each print of the text (name: function) a long, for every row."""
 
@@ -313,14 +324,13 @@ def keep_one(
 ) -> DataFrame:
     """One row of docs for each group of near copies: that with the smallest id, a null id being the largest.
 
-    Texts are near if the fingerprints of their distinct words differ in at most `radius` bits, and those of
-    their shingles of `width` words in at most `apart`: of pairs whose five-word shingles are 0.8 similar that
-    finds 95 %. Texts without words are one group. Of rows with equal id and text any one stays, also where
+    Texts are near if the fingerprints of their words differ in at most `radius` bits, and those of their
+    shingles of `width` words in at most `apart`. Texts without words are one group. Of rows with equal id and text any one stays, also where
     the id is null; of rows that share an id but not the text, one.
     """
     text = F.col(text_col)
     keys = {"k1": F.xxhash64(id_col, text), "k2": F.xxhash64(F.lit("copy"), id_col, text)}  # of (id, text), 128 bits
-    prints = {"fp": lambda t: set_fingerprint(t, 1), "check": lambda t: set_fingerprint(t, width)}
+    prints = {"fp": word_fingerprint, "check": lambda t: set_fingerprint(t, width)}
     rows = materialize(_printed(docs, keys | {"id": F.col(id_col)}, text_col, prints), "prints")
     head = F.struct(F.col("id").isNull().alias("none"), "id", "k1", "k2")
     nodes = rows.groupBy("fp", "check").agg(F.min(head).alias("head")).withColumn("node", F.monotonically_increasing_id())

@@ -1,6 +1,8 @@
 import hashlib
+import math
 import random
 import re
+from collections import Counter
 from itertools import combinations
 
 import pytest
@@ -31,9 +33,15 @@ def set_print_of(text, width):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
+def word_print_of(text):
+    counts = Counter(WORD.findall(lower(text or "")))
+    votes = [(xxhash.xxh64_intdigest(w.encode(), 42), math.isqrt(16 * n)) for w, n in counts.items()]
+    return sum(1 << b for b in range(64) if 2 * sum(n for h, n in votes if h >> b & 1) > sum(n for _, n in votes))
+
+
 def copies_of(texts, radius=6, apart=16):
     """The smallest id of each text's group of near copies, by union over all pairs."""
-    prints = {i: (set_print_of(t, 1), set_print_of(t, 5)) for i, t in texts.items()}
+    prints = {i: (word_print_of(t), set_print_of(t, 5)) for i, t in texts.items()}
     near = lambda a, b: (a[0] ^ b[0]).bit_count() <= radius and (a[1] ^ b[1]).bit_count() <= apart
     return classes(prints, near=near)
 
