@@ -3,18 +3,17 @@
 A partial partition is a vector of shard sums. Differencing takes the two partial partitions with the
 largest spread and adds them oppositely ordered, largest to smallest, until one is left.
 
-It runs in levels, so that nothing whole passes through a task or the driver:
-- Heavy groups, those above 1 / 1000 of a shard's fair share, are at most 1000 * shards; the driver
-  differences them to one partial partition.
-- All other groups are hashed over buckets. A task differences a bucket's groups together with the
-  bucket's part of the heavy partition, so that the small groups fill the gaps that the heavy ones left.
-- Without heavy groups a bucket's shards have no names yet, and the driver differences the buckets'
-  partial partitions (`shards` numbers each). Beyond 1000 buckets the names are turned by one from bucket
-  to bucket instead: the few bytes by which a bucket of thousands of small groups is uneven then even out.
-
-Groups: rows with equal keys go to one shard. A group above a shard's whole fair share can't be placed
-evenly; its rows are dealt, by a hash of the id, over as many pieces as bring each to half a share.
-There are at most `shards` such groups.
+It runs in three steps, each of bounded tasks, whatever the number of groups and shards:
+- Groups above a fair share of what is left, fewer than there are shards, get a shard each. Of the others, large
+  ones are those above one part in `items` of the bytes, so fewer than that. One task differences them to one
+  partial partition, which names the shards.
+- Most others are hashed over buckets. A task differences a bucket's groups together with the bucket's equal
+  part of that partial partition, so that smaller groups fill the gaps that the large ones leave.
+- A bucket's shards then differ by a few bytes, and many buckets' by more. So some small groups, `items` of
+  them by hash, have been held back: one task differences these onto the sum of all before, which closes what
+  is left. With few groups all small ones are held back, and there is no bucket.
+
+A group is never cut: rows with equal keys go to one shard. The driver holds some numbers for each shard.
 """
 
 from __future__ import annotations
@@ -28,10 +27,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize
+from .common import discard, materialize
+
+CELLS = 16_000_000  # numbers in the partial partitions that a task differences: groups times shards
 
-HEAVY = 1000  # a group is heavy above this part of a shard's fair share
-NAMED = 1000  # buckets whose partial partitions the driver differences at most
 
 def difference(sums: np.ndarray) -> np.ndarray:
     """For partial partitions (n, shards), the shard of each one's slots, by differencing.
@@ -91,57 +90,65 @@ def difference_onto(sizes: np.ndarray, base: np.ndarray) -> np.ndarray:
     return named[place[:-1, 0]]
 
 
-def balanced_shards(rows: DataFrame, shards: int, bucket_groups: int = 20_000) -> DataFrame:
-    """rows (id, size, g1, g2) with columns piece and shard; g1, g2 are the group's 128-bit key."""
-    spark = rows.sparkSession
-    rows = materialize(rows, "sizes")
-    total = rows.agg(F.sum("size")).first()[0] or 0
-    share = max(1, total // shards)
-    groups = rows.groupBy("g1", "g2").agg(F.sum("size").alias("bytes"))
-    cut = groups.where(F.col("bytes") > share).select(
-        "g1", "g2", F.ceil(2 * F.col("bytes") / share).cast("int").alias("pieces")
-    )
-    piece = F.coalesce(F.pmod(F.xxhash64("id", F.lit("piece")), F.col("pieces")), F.lit(0)).cast("int")
-    rows = rows.join(F.broadcast(cut), ["g1", "g2"], "left").withColumn("piece", piece).drop("pieces")
-
-    units = materialize(rows.groupBy("g1", "g2", "piece").agg(F.sum("size").alias("bytes")), "units")
-    heavy = F.col("bytes") > share // HEAVY
-    large = units.where(heavy).orderBy(F.desc("bytes"), "g1", "g2", "piece").collect()  # HEAVY * shards at most
-    found = difference_items(np.array([r["bytes"] for r in large], np.int64), shards)
-    base = np.bincount(found, weights=[r["bytes"] for r in large], minlength=shards).astype(np.int64)
-    named = [(r["g1"], r["g2"], r["piece"], int(s)) for r, s in zip(large, found)]
-    top = spark.createDataFrame(named, "g1 long, g2 long, piece int, shard int")
-
-    n = 1 + units.count() // bucket_groups
-    bucket = F.pmod(F.xxhash64("g1", "g2", "piece"), F.lit(n)).alias("bucket")
-    spread = units.where(~heavy).select("g1", "g2", "piece", "bytes", bucket).repartition(n, "bucket")
-    spread = spread.sortWithinPartitions("bucket", F.desc("bytes"), "g1", "g2", "piece")
+def balanced_shards(rows: DataFrame, shards: int, items: int | None = None) -> DataFrame:
+    """rows (id, size, g1, g2) with a column shard; g1, g2 are the group's 128-bit key.
 
-    def task(batches):
-        for own in runs_of(batches, 4):
-            k = own.column(4)[0].as_py()
-            sizes = own.column(3).to_numpy()
-            shard = difference_onto(sizes, base * (k + 1) // n - base * k // n)
-            columns = [c.combine_chunks() for c in own.columns]
-            yield pa.RecordBatch.from_arrays(
-                [*columns, pa.array(shard.astype(np.int32))], names=[*own.column_names, "slot"]
-            )
-
-    fields = "g1 long, g2 long, piece int, bytes long, bucket long, slot int"
-    placed = materialize(spread.mapInArrow(task, fields), "placed")
-    if large or n > NAMED:
-        turn = F.lit(0) if large else F.col("bucket")
-        located = placed.select("g1", "g2", "piece", F.pmod(F.col("slot") + turn, F.lit(shards)).cast("int").alias("shard"))
+    items: groups that a task differences at most, 20,000 by default, fewer for more than 800 shards; it should be
+    several times the shards, which holds for up to some 2,000 of them. Sizes are not negative.
+    """
+    items = items or max(200, min(20_000, CELLS // shards))
+    units = materialize(rows.groupBy("g1", "g2").agg(F.sum("size").alias("bytes")), "units")
+    left = units.agg(F.sum("bytes").alias("bytes")).first()["bytes"] or 0
+    alone = []  # groups above the fair share of what is left: fewer than `shards`
+    for r in units.orderBy(F.desc("bytes"), "g1", "g2").limit(shards).collect():
+        if r["bytes"] * (shards - len(alone)) <= left:
+            break
+        left -= r["bytes"]
+        alone.append((r["g1"], r["g2"], r["bytes"], len(alone)))
+    rest = shards - len(alone)
+    shared = units.where(F.col("bytes") < alone[-1][2]) if alone else units
+    large = F.col("bytes") > F.lit(left // items)
+    small = shared.where(~large)
+    n = small.count()
+    held = F.pmod(F.xxhash64("g1", "g2", F.lit("held")), F.lit(max(1, n))) < items  # all of them, up to `items`
+    buckets = 1 + max(0, n - items) // items
+    bucket = F.pmod(F.xxhash64("g1", "g2"), F.lit(buckets)).cast("int")
+
+    def placed(chosen: DataFrame, number, parts: int, base: np.ndarray) -> DataFrame:
+        """(g1, g2, bytes, shard) of the groups, differenced by their number below `parts` onto its part of base."""
+
+        def task(batches):
+            for own in runs_of(batches, 3):
+                k = own.column(3)[0].as_py()
+                # shards in an order of the bucket's own: what it leaves uneven is then not uneven alike in all
+                order = np.random.default_rng(k).permutation(len(base))
+                shard = order[difference_onto(own.column(2).to_numpy(), (base * (k + 1) // parts - base * k // parts)[order])] + first
+                columns = [c.combine_chunks() for c in own.columns[:3]]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(shard.astype(np.int32))], names=["g1", "g2", "bytes", "shard"])
+
+        dealt = chosen.select("g1", "g2", "bytes", number.alias("number")).repartition("number")
+        dealt = dealt.sortWithinPartitions("number", F.desc("bytes"), "g1", "g2")
+        return materialize(dealt.mapInArrow(task, "g1 long, g2 long, bytes long, shard int"), "placed")
+
+    def sums(*steps: DataFrame) -> np.ndarray:
+        out = np.zeros(rest, np.int64)
+        for step in steps:
+            for r in step.groupBy("shard").agg(F.sum("bytes").alias("bytes")).collect():  # `shards` rows
+                out[r["shard"] - first] += r["bytes"]
+        return out
+
+    one, first = F.lit(0), len(alone)
+    steps = [placed(shared.where(large), one, 1, sums())]
+    if n > items:
+        steps.append(placed(small.where(~held), bucket, buckets, sums(*steps)))
+        steps.append(placed(small.where(held), one, 1, sums(*steps)))
     else:
-        partial = placed.groupBy("bucket", "slot").agg(F.sum("bytes").alias("bytes")).collect()  # NAMED * shards at most
-        sums = np.zeros((n, shards), np.int64)
-        for r in partial:
-            sums[r["bucket"], r["slot"]] = r["bytes"]
-        at = difference(sums)
-        names = [(b, s, int(at[b, s])) for b in range(n) for s in range(shards)]
-        names = F.broadcast(spark.createDataFrame(names, "bucket long, slot int, shard int"))
-        located = placed.join(names, ["bucket", "slot"]).select("g1", "g2", "piece", "shard")
-    return rows.join(located.union(top), ["g1", "g2", "piece"])
+        steps.append(placed(small, one, 1, sums(*steps)))
+    located = rows.sparkSession.createDataFrame(alone, "g1 long, g2 long, bytes long, shard int").select("g1", "g2", "shard")
+    for step in steps:
+        located = located.union(step.select("g1", "g2", "shard"))
+    discard(units)
+    return rows.join(located, ["g1", "g2"])
 
 
 def runs_of(batches, column: int):
@@ -162,13 +169,13 @@ def runs_of(batches, column: int):
         yield pa.Table.from_batches(held)
 
 
-def numbered(rows: DataFrame, order: str = "id") -> DataFrame:
+def numbered(rows: DataFrame) -> DataFrame:
     """rows with a column slot: 0, 1, ... within each shard, over all tasks.
 
-    Rows are dealt by a hash of `order` and counted within their task; a task's counts then start
-    where those of the tasks before it end. The starts are one number for each task and shard.
+    Rows are counted within the tasks that hold them, without a shuffle; a task's counts then start where
+    those of the tasks before it end. The starts are one number for each task and shard.
     """
-    dealt = rows.repartition(order).sortWithinPartitions(order)
+    dealt = rows
     schema = T.StructType(dealt.schema.fields + [
         T.StructField("part", T.IntegerType()), T.StructField("local", T.LongType()),
     ])
@@ -195,7 +202,7 @@ def numbered(rows: DataFrame, order: str = "id") -> DataFrame:
     sizes = counted.groupBy("shard", "part").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     starts = sizes.select("shard", "part", F.coalesce(before, F.lit(0)).alias("start"))
-    joined = counted.join(starts, ["shard", "part"])  # one row for each task and shard: broadcast if small
+    joined = counted.join(starts, ["shard", "part"])  # one row for each task and shard
     return joined.withColumn("slot", F.col("start") + F.col("local")).drop("part", "local", "start")
 
 
@@ -204,7 +211,8 @@ def shard_documents(
 ) -> DataFrame:
     """(id_col, size, text_crc32, shard, slot) for every row of docs; equal texts are a group.
 
-    size: the text's UTF-8 bytes plus overhead. A null text counts as an empty one. Rows may share ids.
+    size: the text's UTF-8 bytes plus overhead, however long it is. A null text counts as an empty one. Rows
+    may share ids or have none. An empty table gives no rows.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(
@@ -214,6 +222,8 @@ def shard_documents(
         F.xxhash64(text).alias("g1"),
         F.xxhash64(F.lit("group"), text).alias("g2"),
     )
+    rows = materialize(rows, "sizes")
     placed = balanced_shards(rows, shards)
-    out = numbered(placed.select("id", "size", "text_crc32", "shard"))
+    out = numbered(placed.select("id", "size", "text_crc32", "shard").sortWithinPartitions("shard", "id", "text_crc32"))
+    discard(rows)
     return out.withColumnRenamed("id", id_col)

@@ -1,5 +1,6 @@
 import math
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -90,31 +91,57 @@ def test_differencing(seed):
     assert sharding.difference_items(np.array([8, 7, 6, 5, 4]), 2).tolist() in ([0, 1, 1, 0, 0], [1, 0, 0, 1, 1], [0, 1, 0, 1, 1], [1, 0, 1, 0, 0])
 
 
+def plain_differencing(sizes, shards):
+    """Partial partitions as lists, the two of largest spread combined until one is left."""
+    parts = [[[s], *[[] for _ in range(shards - 1)]] for s in sizes]
+    spread = lambda p: max(map(sum, p)) - min(map(sum, p))
+    while len(parts) > 1:
+        parts.sort(key=spread)
+        a, b = (sorted(parts.pop(), key=sum) for _ in range(2))
+        parts.append([x + y for x, y in zip(a, b[::-1])])
+    return sorted(map(sum, parts[0]))
+
+
+def test_differencing_is_as_even_as_a_plain_one():
+    rng = np.random.default_rng(9)
+    for n, shards in ((60, 5), (200, 3), (30, 8)):
+        sizes = rng.integers(1, 3000, n)
+        sums = np.bincount(sharding.difference_items(sizes, shards), weights=sizes, minlength=shards)
+        plain = plain_differencing(sizes.tolist(), shards)
+        assert sums.max() - sums.min() <= plain[-1] - plain[0] + 3 * max(1, 100 // n)
+
+
 def test_shards(spark):
     rng = random.Random(1)
-    texts = ["common text " * 3] * 400 + ["é" * rng.randrange(1, 400) for _ in range(600)] + [None, "", ""]
-    rows = [(i, t) for i, t in enumerate(texts)] + [(None, "no id"), (5, "repeated id")]
-    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as shard", "2 as size", "3 as slot")
+    texts = ["common text " * 3] * 400 + ["é" * rng.randrange(1, 400) for _ in range(600)] + [None, "", "", "long " * 20_000]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(None, "no id")] * 50 + [(5, "repeated id")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as shard", "2 as size", "3 as slot", "4 as g1")
     found = sharding.shard_documents(df, shards=8).collect()
     assert len(found) == len(rows)
     by_shard, by_text = {}, {}
     for r in found:
         by_shard.setdefault(r["shard"], []).append(r)
         by_text.setdefault((r["text_crc32"], r["size"]), set()).add(r["shard"])
-    sums = [sum(r["size"] for r in x) for x in by_shard.values()]
-    assert set(by_shard) == set(range(8)) and max(sums) - min(sums) <= 0.01 * sum(sums) / 8
+    sums = sorted(sum(r["size"] for r in x) for x in by_shard.values())
+    assert set(by_shard) == set(range(8)) and sums[-1] == 100_016 and sums[-2] - sums[0] <= 2  # one text above a fair share
     assert all(sorted(r["slot"] for r in x) == list(range(len(x))) for x in by_shard.values())
-    hot = sum(r["size"] for r in found if r["size"] == 52) > sum(sums) / 8
-    assert sum(len(s) > 1 for s in by_text.values()) == int(hot)  # only a group above a whole share is dealt out
-    sizes = {r["doc_id"]: r["size"] for r in found if r["doc_id"] not in (None, 5)}
-    assert all(sizes[i] == len((t or "").encode()) + 16 for i, t in enumerate(texts) if i != 5)
+    assert all(len(s) == 1 for s in by_text.values())  # no group is cut
+    model = sorted((str(i), len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for i, t in rows)
+    assert sorted((str(r["doc_id"]), r["size"], r["text_crc32"]) for r in found) == model
     assert sharding.shard_documents(df.limit(0), shards=8).count() == 0
 
 
-@pytest.mark.parametrize("named", [0, 1000])
-def test_many_buckets_of_small_groups(spark, named, monkeypatch):
-    monkeypatch.setattr(sharding, "NAMED", named)
-    rows = spark.range(9000).selectExpr("id", "20 + id % 37 as size", "xxhash64(id) as g1", "id as g2")
-    sums = [r["sum(size)"] for r in sharding.balanced_shards(rows, 4, bucket_groups=500).groupBy("shard").sum("size").collect()]
-    assert len(sums) == 4 and sum(sums) == sum(20 + k % 37 for k in range(9000))
-    assert max(sums) - min(sums) <= (2 if named else 100)
+@pytest.mark.parametrize("items,shards", [(500, 4), (100_000, 4), (None, 300)])
+def test_shards_over_any_number_of_buckets(spark, items, shards):
+    n = 9000
+    rows = spark.range(n).selectExpr("id", "20 + id % 37 as size", "xxhash64(id) as g1", "id as g2")
+    sums = [r["sum(size)"] for r in sharding.balanced_shards(rows, shards, items).groupBy("shard").sum("size").collect()]
+    assert len(sums) == shards and sum(sums) == sum(20 + k % 37 for k in range(n))
+    assert max(sums) - min(sums) <= (2 if shards == 4 else 60)
+
+
+def test_thousands_of_buckets_are_even(spark):
+    rows = spark.range(1_600_000).selectExpr("id", "20 + id % 37 as size", "xxhash64(id) as g1", "id as g2")
+    found = sharding.balanced_shards(rows, 4, 400)  # 4,000 buckets
+    sums = [r["sum(size)"] for r in found.groupBy("shard").sum("size").collect()]
+    assert sum(sums) == sum(20 + k % 37 for k in range(1_600_000)) and max(sums) - min(sums) <= 2
