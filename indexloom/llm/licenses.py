@@ -2,12 +2,17 @@
 
 All rolling word k-gram hashes of all documents are joined to the template positions that have the same
 k-gram. A hit votes for the diagonal (its position in the document less its position in the template);
-votes are summed by document, template and diagonal, so that what is shuffled is the hits, not the grams.
-Neighbouring diagonals are merged, which bridges a few inserted or missing words, and each merged span is
-verified: the share of the template's words that its hits cover, and the span's length.
+votes are summed by text, template and diagonal, so that what is shuffled is the hits, not the grams.
+Neighbouring diagonals are merged, which bridges a few inserted or missing words. A merged span is a candidate
+if its hits cover enough of the template and it is not much longer than it.
 
-Templates have 60 words at most, so the words that a span covers are the bits of a long. They are a
-parameter; their table is broadcast while it has `BROADCAST_GRAMS` rows or fewer, and shuffled beyond.
+Candidates are verified word for word: each goes back to its text, and its score is the longest common
+subsequence of the span's and the template's words, as a share of the template's.
+
+Texts are told apart by a hash of 128 bits, not by their ids: rows that share an id, or have none, get their
+own labels, and equal texts the same. Templates of any length are a parameter; their table is broadcast while it has
+`BROADCAST_ROWS` rows or fewer, as are the candidates, and shuffled beyond. Texts of any length are hashed in
+segments and scanned in one pass for phrases.
 """
 
 from __future__ import annotations
@@ -17,9 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import discard, materialize
+
 K = 3
-LONGEST = 60
-BROADCAST_GRAMS = 1_000_000
+BROADCAST_ROWS = 100_000
 SEGMENT = 1 << 20  # bytes of a text that are hashed at once
 ROWS = 200_000  # grams in one Arrow batch
 
@@ -34,14 +40,50 @@ PHRASES = {
 # Customary notices and the licenses they name: fixed values
 TEMPLATES = [
     ("apache-2.0", "licensed under the apache license version 2 0"),
+    ("apache-2.0", """
+        licensed under the apache license version 2 0 the license you may not use this file except in compliance with
+        the license you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by
+        applicable law or agreed to in writing software distributed under the license is distributed on an as is basis
+        without warranties or conditions of any kind either express or implied see the license for the specific
+        language governing permissions and limitations under the license"""),
     ("apache-2.0", "you may not use this file except in compliance with the license you may obtain a copy of the license at"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted"),
+    ("bsd-2-clause", """
+        redistribution and use in source and binary forms with or without modification are permitted provided that the
+        following conditions are met 1 redistributions of source code must retain the above copyright notice this list
+        of conditions and the following disclaimer 2 redistributions in binary form must reproduce the above copyright
+        notice this list of conditions and the following disclaimer in the documentation and or other materials
+        provided with the distribution this software is provided by the copyright holders and contributors as is and
+        any express or implied warranties including but not limited to the implied warranties of merchantability and
+        fitness for a particular purpose are disclaimed in no event shall the copyright holder or contributors be
+        liable for any direct indirect incidental special exemplary or consequential damages including but not limited
+        to procurement of substitute goods or services loss of use data or profits or business interruption however
+        caused and on any theory of liability whether in contract strict liability or tort including negligence or
+        otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"""),
     ("cc-by-nc-4.0", "licensed under cc by nc 4 0"),
     ("cc-by-4.0", "licensed under cc by 4 0"),
+    ("cc-by-4.0", "this work is licensed under a creative commons attribution 4 0 international license"),
     ("cc-by-sa-4.0", "licensed under cc by sa 4 0"),
-    ("gpl-3.0", "this work is licensed under the gnu general public license version 3"),
     ("gpl", "you can redistribute it and or modify it under the terms of the gnu general public license"),
+    ("gpl-3.0", "this work is licensed under the gnu general public license version 3"),
+    ("gpl-3.0", """
+        this program is free software you can redistribute it and or modify it under the terms of the gnu general public
+        license as published by the free software foundation either version 3 of the license or at your option any
+        later version this program is distributed in the hope that it will be useful but without any warranty without
+        even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public
+        license for more details"""),
     ("mit", "released under the mit license"),
+    ("mit", """
+        permission is hereby granted free of charge to any person obtaining a copy of this software and associated
+        documentation files the software to deal in the software without restriction including without limitation the
+        rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit
+        persons to whom the software is furnished to do so subject to the following conditions the above copyright
+        notice and this permission notice shall be included in all copies or substantial portions of the software the
+        software is provided as is without warranty of any kind express or implied including but not limited to the
+        warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the
+        authors or copyright holders be liable for any claim damages or other liability whether in an action of
+        contract tort or otherwise arising from out of or in connection with the software or the use or other dealings
+        in the software"""),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software"),
 ]
 
@@ -95,135 +137,160 @@ def gram_hashes(words: np.ndarray, k: int = K) -> np.ndarray:
     return _mixed(total).view(np.int64)
 
 
-def gram_table(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
-    """(id, pos, gram) of every k words in a row of every text."""
+def _keyed(docs: DataFrame, text_col: str) -> list:
+    """The 128-bit key of a text, as two columns; a null text counts as empty."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit("text"), text).alias("k2")]
+
+
+def gram_table(docs: DataFrame, text_col: str, k: int) -> DataFrame:
+    """(k1, k2, pos, gram) of every k words in a row of every text."""
 
     def task(batches):
         for batch in batches:
-            held, size = [], 0
-            for doc, text in zip(batch.column(0), batch.column(1).cast(pa.binary())):
+            keys, held, size = [c.to_numpy() for c in batch.columns[:2]], [], 0
+            for row, text in enumerate(batch.column(2).cast(pa.binary())):
                 grams = gram_hashes(word_hashes(text.as_py() or b""), k)
                 for at in range(0, len(grams), ROWS):
-                    held.append((doc, at, grams[at : at + ROWS]))
+                    held.append((row, at, grams[at : at + ROWS]))
                     size += len(held[-1][2])
                     if size >= ROWS:
-                        yield packed(held)
+                        yield packed(keys, held)
                         held, size = [], 0
             if held:
-                yield packed(held)
-
-    def packed(held):
-        sizes = [len(g) for _, _, g in held]
-        ids = pa.array([d.as_py() for d, _, _ in held], held[0][0].type)
-        return pa.RecordBatch.from_arrays(
-            [
-                ids.take(pa.array(np.repeat(np.arange(len(held)), sizes))),
-                pa.array(np.concatenate([np.arange(at, at + len(g), dtype=np.int32) for _, at, g in held])),
-                pa.array(np.concatenate([g for _, _, g in held])),
-            ],
-            names=["id", "pos", "gram"],
-        )
+                yield packed(keys, held)
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return slim.mapInArrow(task, f"id {kind}, pos int, gram long")
+    def packed(keys, held):
+        rows = np.repeat([row for row, _, _ in held], [len(g) for _, _, g in held])
+        places = [np.arange(at, at + len(g), dtype=np.int32) for _, at, g in held]
+        columns = [keys[0][rows], keys[1][rows], np.concatenate(places), np.concatenate([g for _, _, g in held])]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["k1", "k2", "pos", "gram"])
+
+    slim = docs.select(*_keyed(docs, text_col), F.col(text_col).alias("text"))
+    return slim.mapInArrow(task, "k1 long, k2 long, pos int, gram long")
 
 
 def template_table(spark: SparkSession, templates: list[tuple[str, str]], k: int) -> tuple[DataFrame, int]:
-    """(template, label, words, at, gram), and its number of rows."""
+    """(template, words, at, gram), and its number of rows."""
     rows = []
-    for t, (label, text) in enumerate(templates):
+    for t, (_, text) in enumerate(templates):
         n = len(words_of(text.encode()))
-        if not k <= n <= LONGEST:
-            raise ValueError(f"a template has {k} to {LONGEST} words: {text}")
+        if n < k:
+            raise ValueError(f"a template has {k} words at least: {text}")
         for at, gram in enumerate(gram_hashes(word_hashes(text.encode()), k).tolist()):
-            rows.append((t, label, n, at, gram))
-    return spark.createDataFrame(rows, "template int, label string, words int, at int, gram long"), len(rows)
+            rows.append((t, n, at, gram))
+    return spark.createDataFrame(rows, "template int, words int, at int, gram long"), len(rows)
 
 
-def license_spans(
-    docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, k: int = K, cover: float = 0.75, drift: int = 2,
-    id_col: str = "doc_id", text_col: str = "text",
+def candidates(
+    docs: DataFrame, templates: list[tuple[str, str]], k: int = K, cover: float = 0.75, drift: int = 2, text_col: str = "text"
 ) -> DataFrame:
-    """(id_col, label, template, first, last, score) of each verified span; words count from 0.
+    """(k1, k2, template, first, last) of each merged span whose hits cover enough of its template.
 
-    score: the covered share of the template's words, `cover` or more. A span is at most half as long
-    again as its template. Diagonals are merged if `drift` words apart or less. Rows that share an id count
-    as one document.
+    Diagonals are merged if `drift` words apart or less. A span is at most half as long again as its template.
     """
     table, n = template_table(docs.sparkSession, templates, k)
-    if n <= BROADCAST_GRAMS:
+    if n <= BROADCAST_ROWS:
         table = F.broadcast(table)
-    hits = gram_table(docs, id_col, text_col, k).join(table, "gram")
-    votes = hits.groupBy("id", "template", "label", "words", (F.col("pos") - F.col("at")).alias("diagonal")).agg(
-        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("at"))).alias("grams"),
-        F.min("pos").alias("first"), (F.max("pos") + (k - 1)).alias("last"),
+    hits = gram_table(docs, text_col, k).join(table, "gram")
+    own = ["k1", "k2", "template", "words"]
+    votes = hits.groupBy(*own, (F.col("pos") - F.col("at")).alias("diagonal")).agg(
+        F.collect_set("at").alias("ats"), F.min("pos").alias("first"), (F.max("pos") + (k - 1)).alias("last"),
     )
-    near = Window.partitionBy("id", "template").orderBy("diagonal")
+    near = Window.partitionBy("k1", "k2", "template").orderBy("diagonal")
     fresh = F.coalesce((F.col("diagonal") - F.lag("diagonal").over(near)) > drift, F.lit(True)).cast("int")
-    spans = votes.withColumn("fresh", fresh).withColumn("island", F.sum("fresh").over(near)).groupBy(
-        "id", "template", "label", "words", "island"
-    ).agg(F.bit_or("grams").alias("grams"), F.min("first").alias("first"), F.max("last").alias("last"))
-    covered = F.col("grams")
-    for j in range(1, k):
-        covered = covered.bitwiseOR(F.shiftleft("grams", j))
-    score = F.bit_count(covered) / F.col("words").cast("double")
-    fits = (F.col("score") >= cover) & (2 * (F.col("last") - F.col("first") + 1) <= 3 * F.col("words"))
-    verified = spans.withColumn("score", score).where(fits)
-    return verified.select(F.col("id").alias(id_col), "label", "template", "first", "last", "score")
-
-
-def phrase_places(docs: DataFrame, phrases: dict[str, str], id_col: str, text_col: str) -> DataFrame:
-    """(id, n_words, n_base, first_word, last_word, base) for every row: where phrases stand word for word."""
-    keys = [(b" " + p.encode() + b" ", label) for p, label in phrases.items()]
+    spans = votes.withColumn("fresh", fresh).withColumn("island", F.sum("fresh").over(near)).groupBy(*own, "island").agg(
+        F.array_distinct(F.flatten(F.collect_list("ats"))).alias("ats"), F.min("first").alias("first"), F.max("last").alias("last")
+    )
+    covered = F.size(F.array_distinct(F.flatten(F.transform("ats", lambda at: F.sequence(at, at + (k - 1))))))
+    fits = (covered >= F.lit(cover) * F.col("words")) & (2 * (F.col("last") - F.col("first") + 1) <= 3 * F.col("words"))
+    return spans.where(fits).select("k1", "k2", "template", "first", "last")
 
-    def places(text: bytes):
-        words = words_of(text)
-        line = b" " + b" ".join(words) + b" "
-        found, labels = [], set()
-        for key, label in keys:
-            at = line.find(key)
-            while at >= 0:
-                found.append(line.count(b" ", 0, at))
-                labels.add(label)
-                at = line.find(key, at + 1)
-        return len(words), len(found), min(found, default=None), max(found, default=None), sorted(labels)
 
-    def task(batches):
-        for batch in batches:
-            rows = [places(t.as_py() or b"") for t in batch.column(1).cast(pa.binary())]
-            if rows:
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), *[pa.array(c, t) for c, t in zip(zip(*rows), kinds)]],
-                    names=["id", "n_words", "n_base", "first_word", "last_word", "base"],
-                )
+def common_words(span: list[bytes], masks: dict[bytes, int], n: int) -> int:
+    """The longest common subsequence of a span and a template of n words, by bits of one number a word.
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    fields = "n_words long, n_base long, first_word long, last_word long, base array<string>"
-    return slim.mapInArrow(task, f"id {kind}, {fields}")
+    masks: for each word of the template, the places where it stands.
+    """
+    full = (1 << n) - 1
+    row = full
+    for word in span:
+        if here := masks.get(word, 0) & row:
+            row = ((row + here) | (row - here)) & full
+    return n - row.bit_count()
+
+
+def phrase_places(line: bytes, keys: list[tuple[bytes, str]]) -> tuple[int, int | None, int | None, list[str]]:
+    """(places, first, last, labels) of phrases in words joined by single spaces, with one around."""
+    n, first, last, labels = 0, len(line), -1, set()
+    for key, label in keys:
+        at = line.find(key)
+        if at >= 0:
+            first = min(first, at)
+            labels.add(label)
+        while at >= 0:
+            n, last = n + 1, max(last, at)
+            at = line.find(key, at + 1)
+    if not n:
+        return 0, None, None, []
+    start = line.count(b" ", 0, first)
+    return n, start, start + line.count(b" ", first, last), sorted(labels)
 
 
 def scan_licenses(
-    docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: list[tuple[str, str]] = TEMPLATES,
+    docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: list[tuple[str, str]] = TEMPLATES, cover: float = 0.75,
     id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
-    """(id_col, n_words, n_base, first_word, last_word, base_labels, labels, score) for every row.
+    """(id_col, n_words, n_base, first_word, last_word, base_labels, labels, score, spans) for every row.
 
-    labels: those of the phrases and of the verified spans. score: the best span's, 0 without one. A null
-    text has no words.
+    spans: an array of (label, template, first, last, score) of the verified spans, words counted from 0, in
+    order of their place; score, `cover` or more: the share of the template's words that stand in the span in
+    order. labels: those of the phrases and of the spans. The row's score is the best span's, 0 without one. A
+    null or empty text has no words. Rows that share an id are told apart; an empty table gives no rows.
     """
-    base = phrase_places(docs, phrases, id_col, text_col)
-    spans = license_spans(docs, templates, id_col=id_col, text_col=text_col)
-    found = spans.groupBy(F.col(id_col).alias("span_id")).agg(
-        F.collect_set("label").alias("found"), F.max("score").alias("score")
-    )
-    joined = base.join(found, F.col("id").eqNullSafe(F.col("span_id")), "left")
-    none = F.array().cast("array<string>")
-    labels = F.array_sort(F.array_union("base", F.coalesce("found", none)))
-    return joined.select(
-        F.col("id").alias(id_col), "n_words", "n_base", "first_word", "last_word",
-        F.array_join("base", ",").alias("base_labels"), F.array_join(labels, ",").alias("labels"),
-        F.coalesce("score", F.lit(0.0)).alias("score"),
+    found = materialize(candidates(docs, templates, cover=cover, text_col=text_col), "candidates")
+    lists = found.groupBy("k1", "k2").agg(F.sort_array(F.collect_list(F.struct("first", "last", "template"))).alias("spans"))
+    lists = materialize(lists, "candidates")
+    discard(found)
+    few = lists.count() <= BROADCAST_ROWS
+    keys = [(b" " + p.encode() + b" ", label) for p, label in phrases.items()]
+    labels = [label for label, _ in templates]
+    forms = []
+    for _, text in templates:
+        masks: dict[bytes, int] = {}
+        words = words_of(text.encode())
+        for at, word in enumerate(words):
+            masks[word] = masks.get(word, 0) | 1 << at
+        forms.append((masks, len(words)))
+    span = pa.struct([("label", pa.string()), ("template", pa.int32()), ("first", pa.int64()), ("last", pa.int64()), ("score", pa.float64())])
+    kinds = [pa.int64()] * 4 + [pa.string(), pa.string(), pa.float64(), pa.list_(span)]
+    names = ["id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans"]
+
+    def judged(text: bytes, spans) -> tuple:
+        words = words_of(text)
+        n, first, last, base = phrase_places(b" " + b" ".join(words) + b" ", keys)
+        verified = []
+        for s in spans or ():
+            masks, size = forms[s["template"]]
+            score = common_words(words[s["first"] : s["last"] + 1], masks, size) / size
+            if score >= cover:
+                verified.append((labels[s["template"]], s["template"], s["first"], s["last"], score))
+        both = sorted({*base, *(v[0] for v in verified)})
+        best = max((v[4] for v in verified), default=0.0)
+        return len(words), n, first, last, ",".join(base), ",".join(both), best, verified
+
+    def task(batches):
+        for batch in batches:
+            rows = [judged(t.as_py() or b"", s.as_py()) for t, s in zip(batch.column(1).cast(pa.binary()), batch.column(2))]
+            if rows:
+                columns = [batch.column(0), *[pa.array(c, t) for c, t in zip(zip(*rows), kinds)]]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *_keyed(docs, text_col))
+    joined = slim.join(F.broadcast(lists) if few else lists, ["k1", "k2"], "left").select("id", "text", "spans")
+    fields = (
+        f"id {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, "
+        "score double, spans array<struct<label: string, template: int, first: long, last: long, score: double>>"
     )
+    return joined.mapInArrow(task, fields).withColumnRenamed("id", id_col)

@@ -28,7 +28,7 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+    return licenses.scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
 
 
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
