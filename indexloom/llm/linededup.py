@@ -4,14 +4,16 @@ A line's key is the line without ASCII white space at its ends and with A-Z lowe
 `min_chars` code points or more that occur in `min_docs` documents or more lose all their lines
 but those of the largest id that holds them.
 
-The (hash, id, position) rows are range-partitioned by hash and id, so a line that a third of all
-documents share is spread over many tasks, and sorted by hash, id (largest first) and position.
-A task streams its runs of equal hashes and holds the rows of `min_docs` - 1 documents at most: a
-run's first id is the one that stays, and from the `min_docs`-th id on everything is settled.
-Only a task's first and last run can reach into other tasks. Their rows are left open and settled
-by a join with the runs' totals: two hashes a task at most, hence broadcast.
-
-The result is a compressed bitmap of the lines to keep for every document that loses some, not text.
+A row is a document's key with the positions of its lines. Rows are range-partitioned by hash and id, so a line
+that a third of all documents share is spread over many tasks, and sorted by hash, id (largest first) and
+first position. A task streams its runs of equal hashes in Arrow batches, without a loop over rows: a run's
+first id is the one that stays, and from the `min_docs`-th id on all is settled. Ids two to `min_docs` - 1 depend on
+the run's end. Where a batch or the task ends first, they are left open, and settled by a join with the runs'
+totals: a few rows for each batch, and nothing is held.
+
+The result is a compressed bitmap of the lines to keep for every document that loses some, not text. Ids may be of
+any type that can be sorted. A very long text is one row of each step, and its lines are only held by the task that
+splits it.
 """
 
 from __future__ import annotations
@@ -20,86 +22,116 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, signed
+from .common import discard, materialize, signed, written_bytes
 
 SEED = 42  # of Spark's xxhash64, so that both sides hash a text alike
 DROP, OPEN, TOTAL = 0, 1, 2
+HASHED = 32 << 20  # bytes of a join's smaller side for each of its tasks that are hashed rather than sorted
 
 
 def line_key(line: bytes) -> bytes:
     return line.strip().lower()
 
 
+def line_keys(text: bytes, min_chars: int) -> tuple[int, dict[bytes, list[int]]]:
+    """The number of lines, and the positions of each key that is long enough, by its 128-bit hash."""
+    lines, found = text.split(b"\n"), {}
+    for pos, line in enumerate(lines):
+        if len(line) >= min_chars:
+            key = line_key(line)
+            if len(key) >= min_chars and (key.isascii() or len(key.decode()) >= min_chars):
+                found.setdefault(xxhash.xxh3_128_digest(key), []).append(pos)
+    return len(lines), found
+
+
 def line_hashes(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
-    """(id, text_hash, n_lines, pos, h1, h2) of every line whose key is long enough; 128-bit hashes."""
-
-    def rows(texts, ids):
-        for text, doc in zip(texts, ids):
-            text = text.as_py()
-            if text is None or doc is None:
-                continue
-            lines = text.split(b"\n")
-            text_hash = None
-            for pos, line in enumerate(lines):
-                if len(line) < min_chars:
-                    continue
-                key = line_key(line)
-                if len(key) >= min_chars and (key.isascii() or len(key.decode()) >= min_chars):
-                    if text_hash is None:
-                        text_hash = signed(xxhash.xxh64_intdigest(text, SEED))
-                    high, low = divmod(xxhash.xxh3_128_intdigest(key), 1 << 64)
-                    yield doc, text_hash, len(lines), pos, signed(high), signed(low)
+    """(id, text_hash, n_lines, h1, h2, at) of every document's keys; at: the lines' positions, in order."""
 
     def task(batches):
         for batch in batches:
-            found = list(rows(batch.column(1).cast(pa.binary()), batch.column(0).to_pylist()))
-            if found:
-                kinds = (batch.schema.field(0).type, pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*found), kinds)],
-                    names=["id", "text_hash", "n_lines", "pos", "h1", "h2"],
-                )
+            rows, docs_of, hashes, sizes, keys, sums, places = [], [], [], [], [], [], []
+            for row, text in enumerate(batch.column(1).cast(pa.binary())):
+                text = text.as_py()
+                if text is None or not batch.column(0)[row].is_valid:
+                    continue
+                n, found = line_keys(text, min_chars)
+                if found:
+                    text_hash = signed(xxhash.xxh64_intdigest(text, SEED))
+                    docs_of += [row] * len(found)
+                    hashes += [text_hash] * len(found)
+                    sizes += [n] * len(found)
+                    keys += found
+                    sums += map(len, found.values())
+                    for at in found.values():
+                        places += at
+            if docs_of:
+                halves = np.frombuffer(b"".join(keys), ">i8").astype(np.int64).reshape(-1, 2)
+                offsets = np.concatenate([[0], np.cumsum(sums)]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(places, pa.int32()))
+                columns = [
+                    batch.column(0).take(pa.array(docs_of)), pa.array(hashes, pa.int64()), pa.array(sizes, pa.int32()),
+                    pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy()), lists,
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "text_hash", "n_lines", "h1", "h2", "at"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return slim.mapInArrow(task, f"id {kind}, text_hash long, n_lines int, pos int, h1 long, h2 long")
+    return slim.mapInArrow(task, f"id {kind}, text_hash long, n_lines int, h1 long, h2 long, at array<int>")
 
 
-def stream_runs(rows, min_docs: int):
-    """Mark the lines to drop in one task's rows, which are sorted by hash, id descending, position.
+def stream_runs(batches, min_docs: int):
+    """Mark one task's rows (id, text_hash, n_lines, h1, h2, at), sorted by hash, id descending and position.
 
-    rows: (id, text_hash, n_lines, pos, h1, h2). Yields (mark, id, text_hash, n_lines, pos, h1, h2, n):
-    DROP rows are settled; OPEN rows belong to a run that other tasks may share, with n = 1 on the
-    first of each id; a TOTAL row tells an open run's first id and its n ids so far.
+    Yields record batches of those columns, mark and docs. DROP: lines that go. OPEN: lines of a run that a batch
+    or other tasks cut, which go if its documents are enough and their id is not its first. TOTAL: a row with
+    an open run's first id, and in docs its number of ids in this task.
     """
-    run = last = first = None
-    docs, held, open_run = 0, [], True  # nothing tells whether the first run began in an earlier task
-    for row in rows:
-        doc, key = row[0], row[4:]
-        if key != run:
-            if run is not None:
-                open_run = False
-            run, first, docs, held, last = key, doc, 0, [], None
-        new = doc != last
-        docs, last = docs + new, doc
-        if open_run:
-            yield (OPEN, *row, int(new))
-        elif doc != first:
-            if docs < min_docs:
-                held.append((row, int(new)))
-            else:
-                for kept, _ in held:
-                    yield (DROP, *kept, 0)
-                held = []
-                yield (DROP, *row, 0)
-    if run is not None and not open_run:  # the last run may go on in the next task
-        yield (TOTAL, first, 0, 0, -1, *run, docs if docs >= min_docs else 1)
-        for row, new in held:
-            yield (OPEN, *row, new)
+    prior = first = None  # the row before, and the first row of its run
+    rank, task_first = 0, True  # its id's place in the run; whether the run is the task's first
+
+    def marked(rows: pa.RecordBatch, marks: np.ndarray, docs: np.ndarray) -> pa.RecordBatch:
+        columns = [pa.array(marks.astype(np.int32)), *rows.columns, pa.array(docs.astype(np.int32))]
+        return pa.RecordBatch.from_arrays(columns, names=["mark", *rows.schema.names, "docs"])
+
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        both = batch if prior is None else pa.concat_batches([prior, batch])
+        h1, h2, ids = both.column(3).to_numpy(), both.column(4).to_numpy(), both.column(0)
+        same = pc.equal(ids.slice(1), ids.slice(0, len(ids) - 1)).to_numpy(zero_copy_only=False).astype(bool)
+        fresh = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
+        if prior is None:
+            fresh, same = np.concatenate([[True], fresh]), np.concatenate([[False], same])
+        docs, run, starts = np.cumsum(fresh | ~same), np.cumsum(fresh), np.flatnonzero(fresh)
+        # run 0 goes on from the batch before; a place counts ids from 1 within a run
+        place = docs - np.concatenate([[-rank], docs[starts] - 1])[run]
+        tops = np.append(np.where(starts > 0, place[starts - 1], rank), place[-1])  # each run's ids by the end of the batch
+        last = len(starts)
+        enough = (tops >= min_docs)[run]
+        cut = (run == 0) | (run == last)  # runs that a batch cuts
+        if prior is None:
+            cut |= run == 1
+        mark = np.where(enough & (place > 1), DROP, np.where(cut & (place > 1), OPEN, -1))
+        if task_first:
+            mark[(place == 1) & (run == (prior is None))] = OPEN
+        if len(rows := np.flatnonzero(mark >= 0)):
+            yield marked(batch.take(pa.array(rows)), mark[rows], np.zeros(len(rows)))
+        if last and prior is not None:  # run 0 has ended
+            yield marked(first, np.array([TOTAL]), tops[:1])
+        if prior is None and last > 1:
+            yield marked(batch.slice(0, 1), np.array([TOTAL]), tops[1:2])
+        if last:
+            task_first = prior is None and last == 1
+            first = batch.slice(int(starts[-1]), 1)
+        prior, rank = batch.slice(n - 1), int(place[-1])
+    if prior is not None:
+        yield marked(first, np.array([TOTAL]), np.array([rank]))
 
 
 def line_bitmaps(
@@ -109,45 +141,19 @@ def line_bitmaps(
 
     keep: a bit for each line, first line first, set if the line stays; zlib-compressed.
     text_hash (XXH64 of the text) tells rows apart that share an id; they count as one document.
-    Rows whose id or text is null hold no keys and lose nothing.
+    Rows whose id or text is null hold no keys and lose nothing. An empty table gives no rows.
     """
     hashed = materialize(line_hashes(docs, id_col, text_col, min_chars), "lines")
     kind = hashed.schema["id"].dataType.simpleString()
-
-    def task(batches):
-        def rows():
-            for batch in batches:
-                yield from zip(*(c.to_pylist() for c in batch.columns))
-
-        def packed(block):
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*block), kinds)], names=names)
-
-        block = []
-        for mark in stream_runs(rows(), min_docs):
-            block.append(mark)
-            if len(block) == 10_000:
-                yield packed(block)
-                block = []
-        if block:
-            yield packed(block)
-
-    names = ["mark", "id", "text_hash", "n_lines", "pos", "h1", "h2", "n"]
-    id_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-    kinds = [pa.int32(), id_type, pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32()]
-    ranged = hashed.repartitionByRange("h1", "h2", F.desc("id")).sortWithinPartitions("h1", "h2", F.desc("id"), "pos")
-    marks = materialize(
-        ranged.mapInArrow(
-            task, f"mark int, id {kind}, text_hash long, n_lines int, pos int, h1 long, h2 long, n int"
-        ),
-        "marks",
-    )
-    unsettled = marks.where(F.col("mark") != DROP)
-    totals = unsettled.groupBy("h1", "h2").agg(F.sum("n").alias("docs"), F.max("id").alias("first"))
-    totals = F.broadcast(totals.where(F.col("docs") >= min_docs).drop("docs"))  # two hashes a task at most
-    settled = unsettled.where(F.col("mark") == OPEN).join(totals, ["h1", "h2"]).where("id < first")
-    slim = ["id", "text_hash", "n_lines", "pos"]
-    dropped = marks.where(F.col("mark") == DROP).select(slim).union(settled.select(slim)).distinct()
-    lists = dropped.groupBy("id", "text_hash", "n_lines").agg(F.collect_list("pos").alias("pos"))
+    first_place = F.col("at")[0]
+    ranged = hashed.repartitionByRange("h1", "h2", F.desc("id")).sortWithinPartitions("h1", "h2", F.desc("id"), first_place)
+    fields = f"mark int, id {kind}, text_hash long, n_lines int, h1 long, h2 long, at array<int>, docs int"
+    marks = materialize(ranged.mapInArrow(lambda batches: stream_runs(batches, min_docs), fields), "marks")
+    totals = marks.where(F.col("mark") == TOTAL).groupBy("h1", "h2").agg(F.sum("docs").alias("docs"), F.max("id").alias("first"))
+    settled = marks.where(F.col("mark") == OPEN).join(totals.where(F.col("docs") >= min_docs).drop("docs"), ["h1", "h2"])
+    slim = ["id", "text_hash", "n_lines", "at"]
+    dropped = marks.where(F.col("mark") == DROP).select(slim).union(settled.where("id < first").select(slim))
+    lists = dropped.groupBy("id", "text_hash", "n_lines").agg(F.flatten(F.collect_set("at")).alias("pos"))
 
     def pack(batches):
         for batch in batches:
@@ -163,19 +169,25 @@ def line_bitmaps(
             )
 
     bitmaps = lists.mapInArrow(pack, f"id {kind}, text_hash long, n_lines int, n_dropped int, keep binary")
-    return bitmaps.withColumnRenamed("id", id_col)
+    bitmaps = materialize(bitmaps.withColumnRenamed("id", id_col), "bitmaps")
+    discard(hashed, marks)
+    return bitmaps
 
 
 def drop_lines(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the dropped lines gone from text_col, and n_lines (before) and n_dropped, as long.
 
-    A null text becomes an empty one: one empty line. The two replace columns of those names.
+    A null text becomes an empty one: one empty line. The two replace columns of those names. Texts go to their
+    bitmaps by a join on id and text; bitmaps that fit a task's memory are hashed, so that texts are not sorted.
     """
     docs = docs.drop("n_lines", "n_dropped")
     marked = docs.withColumn("_loom_hash", F.xxhash64(text_col))
     keep = bitmaps.select(
         F.col(id_col).alias("_loom_id"), F.col("text_hash").alias("_loom_of"), F.col("keep").alias("_loom_keep")
-    ).hint("shuffle_hash")  # the small side is hashed, so texts are not sorted
+    )
+    size = written_bytes(bitmaps)
+    if size is not None and size <= HASHED * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        keep = keep.hint("shuffle_hash")
     same = (marked[id_col] == keep["_loom_id"]) & (marked["_loom_hash"] == keep["_loom_of"])
     joined = marked.join(keep, same, "left").select(*[F.col(f"`{c}`") for c in docs.columns], "_loom_keep")
     at, bits = docs.columns.index(text_col), len(docs.columns)

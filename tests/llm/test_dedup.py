@@ -189,28 +189,62 @@ def test_line_dedup(spark, partitions):
     assert linededup.drop_lines(df.limit(0), linededup.line_bitmaps(df.limit(0))).count() == 0
 
 
-@pytest.mark.parametrize("seed", range(5))
+@pytest.mark.parametrize("seed", range(8))
 def test_streamed_runs_over_any_cuts(seed):
-    """However the sorted rows are cut into tasks, drops and open rows settle to the same lines."""
+    """However the sorted rows are cut into tasks and batches, drops and open rows settle to the same lines."""
+    import pyarrow as pa
+
     rng = random.Random(seed)
-    rows = [(doc, 0, 9, pos, h, h) for h in range(8) for doc in rng.sample(range(30), rng.choice([1, 3, 4, 5, 6, 20])) for pos in range(rng.randrange(1, 3))]
-    rows.sort(key=lambda r: (r[4], r[5], -r[0], r[3]))
-    cuts = sorted(c for c in rng.sample(range(len(rows)), 6) if rows[c][:1] + rows[c][4:] != rows[c - 1][:1] + rows[c - 1][4:])
-    marks = [m for a, b in zip([0, *cuts], [*cuts, len(rows)]) for m in linededup.stream_runs(rows[a:b], 5)]
-    dropped = {(m[1], m[4], m[5]) for m in marks if m[0] == linededup.DROP}
-    for h in {m[5] for m in marks if m[0] != linededup.DROP}:
-        own = [m for m in marks if m[0] != linededup.DROP and m[5] == h]
+    rows = [(doc, k, 9, h, h, [pos]) for h in range(8) for doc in rng.sample(range(30), rng.choice([1, 3, 4, 5, 6, 20])) for k, pos in enumerate(range(rng.randrange(1, 3)))]
+    rows.sort(key=lambda r: (r[3], r[4], -r[0], r[5]))
+    cuts = sorted(c for c in rng.sample(range(len(rows)), 6) if (rows[c][0], rows[c][3]) != (rows[c - 1][0], rows[c - 1][3]))
+    kinds = [pa.string() if seed % 2 else pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
+    marks, size = [], rng.choice([1, 2, 5, 1000])
+    for a, b in zip([0, *cuts], [*cuts, len(rows)]):
+        parts = [rows[k : min(k + size, b)] for k in range(a, b, size)]
+        batches = [
+            pa.RecordBatch.from_arrays(
+                [pa.array([f"{x:02}" if seed % 2 and c == 0 else x for x in col], t) for c, (col, t) in enumerate(zip(zip(*part), kinds))],
+                names=["id", "text_hash", "n_lines", "h1", "h2", "at"],
+            )
+            for part in parts
+        ]
+        for batch in linededup.stream_runs(batches, 5):
+            marks += [list(r.values()) for r in batch.to_pylist()]
+    marks = [(m[0], int(m[1]), *m[2:]) for m in marks]
+    dropped = {(m[1], m[2], m[4]) for m in marks if m[0] == linededup.DROP}
+    for h in {m[4] for m in marks if m[0] != linededup.DROP}:
+        own = [m for m in marks if m[0] == linededup.TOTAL and m[4] == h]
         if sum(m[7] for m in own) >= 5:
             first = max(m[1] for m in own)
-            dropped |= {(m[1], m[4], h) for m in own if m[0] == linededup.OPEN and m[1] != first}
+            dropped |= {(m[1], m[2], h) for m in marks if m[0] == linededup.OPEN and m[4] == h and m[1] < first}
     model = set()
     for h in range(8):
-        docs = {r[0] for r in rows if r[4] == h}
+        docs = {r[0] for r in rows if r[3] == h}
         if len(docs) >= 5:
-            model |= {(r[0], r[3], h) for r in rows if r[4] == h and r[0] != max(docs)}
+            model |= {(r[0], r[1], h) for r in rows if r[3] == h and r[0] != max(docs)}
     assert dropped == model
 
 
+@pytest.mark.parametrize("kind", ["smallint", "decimal(10,2)", "string", "date"])
+def test_line_dedup_with_any_type_of_id(spark, kind):
+    line = "a line of more than forty characters that six documents hold"
+    df = spark.range(6).selectExpr(
+        ("date_add(date'2020-01-01', int(id))" if kind == "date" else f"cast(id as {kind})") + " as doc_id", f"concat('{line}', '\n', id) as text"
+    )
+    kept = linededup.drop_lines(df, linededup.line_bitmaps(df))
+    assert sorted(r["n_dropped"] for r in kept.collect()) == [0, 1, 1, 1, 1, 1]
+    assert [r["text"] for r in kept.where("n_dropped = 0").collect()] == [f"{line}\n5"]
+
+
+def test_line_dedup_of_very_long_texts(spark):
+    line = "the same line of a very long document, over and over again"
+    rows = [(i, "\n".join([line] * (200_000 if i == 2 else 1))) for i in range(7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = {r["doc_id"]: (r["n_lines"], r["n_dropped"], r["text"]) for r in linededup.drop_lines(df, linededup.line_bitmaps(df)).collect()}
+    assert found[2] == (200_000, 200_000, "") and found[6] == (1, 0, line) and found[0] == (1, 1, "")
+
+
 def test_registered_query_digest(spark):
     text = "a\nb"
     df = spark.createDataFrame([(1, text)], "doc_id long, text string")
