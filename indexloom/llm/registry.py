@@ -22,9 +22,9 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    listed = urlfilter.spam_urls(pages, urlfilter.SPAM_HOSTS)
-    return urlfilter.judge_urls(pages, listed).select("page_id", "host", "path", "rule", "verdict")
+    pages = table(spark, sf_dir, "pages")
+    listed = urlfilter.bad_pages(pages)
+    return urlfilter.judge_urls(pages.select("page_id", "url"), listed).select("page_id", "host", "path", "rule", "verdict")
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,8 @@ The list's 64-bit hashes are set in blocks of eight 32-bit words: a hash picks a
 word by the word's own hash. A block is one row, built by bit_or, so the filter is a table of blocks that
 pages are joined to by block number: broadcast while its computed size is within `broadcast_bytes`, shuffled
 beyond. URLs whose eight bits are all set are possible hits; only those go through the exact join with the
-list, which removes the false positives. All steps are column expressions.
+list, which removes the false positives. All steps are column expressions. Null URLs and those without a host are on
+no list; URLs and pages of any length are taken whole.
 """
 
 from __future__ import annotations
@@ -115,20 +116,25 @@ def judge_urls(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str,
     return found.withColumns({"rule": rule, "verdict": F.coalesce(verdict, other)}).drop("listed")
 
 
-def spam_urls(pages: DataFrame, hosts: tuple[str, ...]) -> DataFrame:
-    """A list for the query: the canonical URLs of the pages on hosts known for spam, and their subdomains."""
-    host = host_of(F.col("url"))
-    known = F.lit(False)
-    for name in hosts:
-        known = known | (host == name) | host.endswith("." + name)
-    return pages.where(known).select(canonical(F.col("url")).alias("key"))
+# Titles stuffed with symbols, and the size under which a page has hardly any text: fixed values of the query's list
+STUFFED = r"<title>[^<]*(###|\*\*\*|%%%|&amp;&amp;)"
+THIN = 900
 
 
-SPAM_HOSTS = ("spam-farm.example.org", "cheap-pills.example.com")
+def bad_pages(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """A list by content: the canonical URLs (key) of pages whose title is stuffed or whose html is under THIN bytes.
+
+    What a URL's host is has no part in it; other pages under the same canonical URL are then blocked with it. A
+    null html is under no size.
+    """
+    html = F.col(html_col)
+    bad = html.rlike(STUFFED) | (F.octet_length(html) < THIN)
+    return pages.where(bad).select(canonical(F.col(url_col)).alias("key"))
+
 
 SQL = r"""
 WITH parts AS (
-  SELECT page_id, url,
+  SELECT page_id, url, html,
          translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), ''),
                    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
          coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path,
@@ -144,8 +150,7 @@ canon AS (
   FROM kept),
 listed AS (
   SELECT DISTINCT key FROM canon
-  WHERE host IN ('spam-farm.example.org', 'cheap-pills.example.com')
-     OR host LIKE '%.spam-farm.example.org' OR host LIKE '%.cheap-pills.example.com'),
+  WHERE regexp_matches(html, '<title>[^<]*(###|\*\*\*|%%%|&amp;&amp;)') OR strlen(html) < 900),
 rules(verdict, rh, rp) AS (VALUES
   ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'),
   ('block', 'net', '/es/'), ('block', 'net', '/fr/')),

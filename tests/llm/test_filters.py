@@ -114,6 +114,30 @@ def test_url_verdicts(spark, most, monkeypatch):
     assert urlfilter.judge_urls(pages, listed.limit(0)).where("verdict = 'block' and rule is null").count() == 0
 
 
+@pytest.mark.parametrize("scale", ["0.001", "0.01"])
+def test_the_query_s_list_decides_verdicts(spark, scale):
+    """Some verdicts come from the list alone, through both joins, and equal those of a plain lookup."""
+    from indexloom.llm import registry
+
+    found = registry.op3_url_filter(spark, f"/root/testdata/sf{scale}")
+    rows = found.collect()
+    pages = {r["page_id"]: r for r in spark.read.parquet(f"/root/testdata/sf{scale}/pages.parquet").collect()}
+    bad = re.compile(urlfilter.STUFFED)
+    named = pages_of(spark, list(pages.values()))
+    listed = {named[i] for i, r in pages.items() if bad.search(r["html"]) or len(r["html"].encode()) < urlfilter.THIN}
+    assert listed and all((r["verdict"] == "block") == (named[r["page_id"]] in listed) for r in rows if r["rule"] is None)
+    assert sum(r["rule"] is None and r["verdict"] == "block" for r in rows) > 0
+    found._jdf.queryExecution().executedPlan().execute().count()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    final = plan[: plan.index("Initial Plan")] if "Initial Plan" in plan else plan
+    assert "_loom_b" in final and "_loom_listed" in final and final.count("Join") >= 2
+
+
+def pages_of(spark, rows):
+    df = spark.createDataFrame([(r["page_id"], r["url"]) for r in rows], "page_id long, url string")
+    return {r["page_id"]: r["key"] for r in df.select("page_id", urlfilter.canonical(F.col("url")).alias("key")).collect()}
+
+
 def test_bloom_filter_is_selective(spark):
     keys = spark.range(3000).selectExpr("concat('h', id, '.org/p') as key")
     blocks = 3000 * 16 // 256
