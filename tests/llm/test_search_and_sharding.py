@@ -59,23 +59,66 @@ def test_large_components_are_exact(spark):
 
 def test_tree_boxes_are_tight_and_prune():
     rng = np.random.default_rng(0)
-    points = rng.integers(-50, 50, (4000, 3))
-    tree = kdsearch.Tree(np.arange(4000), points)
-    for (start, stop), low, high in zip(tree.spans, tree.low, tree.high):
+    points = rng.integers(-50, 50, (4000, 3)).astype(float)
+    tree = kdsearch.planted(np.arange(4000), points, np.eye(3))
+    for k, (start, stop) in enumerate(zip(tree.starts, tree.starts[1:])):
         own = tree.points[start:stop]
-        assert (own.min(axis=0) == low).all() and (own.max(axis=0) == high).all()
-    seen = []
-
-    class Counting(np.ndarray):
-        def __getitem__(self, key):
-            seen.append(key)
-            return np.asarray(self)[key]
-
-    tree.points = tree.points.view(Counting)
-    query = np.array([[40, -45, 30]])
+        assert (own.min(axis=0) == tree.low[k]).all() and (own.max(axis=0) == tree.high[k]).all() and stop - start <= kdsearch.LEAF
+    query = np.array([[40.0, -45, 30]])
     best = next(iter(tree.answer(query, [None], 10, [kdsearch.LOW])))
     assert sorted(s for s, _ in best) == sorted(np.sort(points @ query[0])[-10:].tolist())
-    assert len(seen) < 12  # of 32 leaves
+    assert tree.visited < 8  # of 32 leaves
+
+
+def clustered(n, width, clusters, rng):
+    centres = rng.normal(0, 1, (clusters, width))
+    return centres[rng.integers(0, clusters, n)] + rng.normal(0, 0.03, (n, width))
+
+
+def test_bounds_hold_and_prune_in_64_dimensions():
+    rng = np.random.default_rng(3)
+    points = np.floor(1024 * clustered(8192, 64, 32, rng))
+    splits = kdsearch.Splits(points[:4000], 16)
+    tree = kdsearch.planted(np.arange(8192), points, splits.basis)
+    asked = points[::200]
+    limits = kdsearch.upper_bounds(asked, tree.basis, tree.low, tree.high, tree.centre, tree.radius, tree.norm)
+    scores = asked @ tree.points.T
+    for node in range(len(tree.starts) - 1):
+        assert (scores[:, tree.starts[node] : tree.starts[node + 1]].max(axis=1) <= limits[:, node]).all()
+    for q, best in zip(asked, tree.answer(asked, [None] * len(asked), 10, [kdsearch.LOW] * len(asked))):
+        assert sorted((s for s, _ in best), reverse=True) == np.sort(points @ q)[::-1][:10].tolist()
+    assert tree.visited < 0.5 * len(asked) * (len(tree.starts) - 1)
+    leaf = splits.leaf_of(points)
+    assert splits.leaves == 16 and np.bincount(leaf, minlength=16).max() < 2 * 8192 / 16
+
+
+def test_queries_go_to_few_shards_of_clustered_vectors(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(i, v.tolist()) for i, v in enumerate(clustered(3000, 64, 24, rng))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    tables = {}
+    written = kdsearch.materialize
+
+    def kept(table, label):
+        tables[label] = written(table, label)
+        return tables[label]
+
+    monkeypatch.setattr(kdsearch, "materialize", kept)
+    monkeypatch.setattr(kdsearch, "QUERIES", 7)
+    asked = df.where("vec_id % 50 = 0")
+    found = got(kdsearch.top_k(df, asked, k=10, shard_rows=100))
+    assert found == brute(rows, rows[::50], 10)
+    shards = tables["trees"].where("kind = 2").count()
+    assert shards > 20 and tables["routed"].count() < 0.5 * 60 * shards
+
+
+def test_hot_vectors_and_repeats(spark):
+    hot = [0.5] * 8
+    rows = [(i, hot if i % 2 else [float(i % 7 - 3)] * 8) for i in range(600)] + [(3, hot), (3, [0.25] * 8)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    asked = df.where("vec_id in (1, 2, 11)")
+    found = got(kdsearch.top_k(df, asked, k=10, shard_rows=20))
+    assert found == brute(sorted(set((i, tuple(v)) for i, v in rows)), [(i, v) for i, v in rows if i in (1, 2, 11)], 10)
 
 
 @pytest.mark.parametrize("seed", range(3))
