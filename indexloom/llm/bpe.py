@@ -10,6 +10,9 @@ Compatible: both tokens are built by merges of rising rank. Between the pieces t
 the boundary a merge would come first if its rank is below that of the next merge inside the left token
 (left occurrences of one rule go first, hence "below"), and at or below the next inside the right one.
 
+What a worker keeps is bounded in number and in size. A null text counts as empty; ids may be null or repeat,
+and each row has its own result; texts are encoded whole, one at a time. An empty table gives no rows.
+
 The vocabulary's path is a parameter; `end` (such as "</w>") marks tokens that end a word.
 """
 
@@ -30,7 +33,8 @@ from pyspark.sql import functions as F
 
 END = "\x00"  # stands for the end-of-word mark; no symbol of the byte alphabet
 NEVER = 1 << 60
-KEPT = 300_000  # chunks and words that a worker keeps
+KEPT = 300_000  # chunks and words that a worker keeps, and pairs of tokens
+SHORT = 64  # characters of a chunk or word that is kept: longer ones hardly recur
 ODD = re.compile("[\x1c-\x1f]")  # white space to str.split, not to the pre-tokenizer
 # Characters that every Unicode version since 5 classes alike; other texts are split up by the library.
 PLAIN = re.compile("[\0-\u02ff\u0391-\u03a1\u03a4-\u03ce\u0400-\u0481\u048a-\u0513\u2010-\u2027\u2030-\u205e\u20a0-\u20b5\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fbb\uac00-\ud7a3]*")
@@ -98,7 +102,9 @@ class PairMerges:
     def fits(self, left: int, right: int) -> bool:
         known = self._fits.get((left, right))
         if known is None:
-            known = self._fits[left, right] = self._meet(left, right)
+            known = self._meet(left, right)
+            if len(self._fits) < KEPT:
+                self._fits[left, right] = known
         return known
 
     def whole(self, token: int) -> bool:
@@ -170,14 +176,14 @@ class WordCodec:
         if ids is None:
             letters = self.alphabet
             ids = np.array(self.merges.encode("".join([letters[b] for b in word.encode()])), "<u4").tobytes()
-            if len(self.known) < KEPT:
+            if len(word) <= SHORT and len(self.known) < KEPT:
                 self.known[word] = ids
         return ids
 
     def _chunk(self, chunk: str) -> bytes:
         word = self._word
         ids = word(chunk) if chunk.isascii() and chunk.isalpha() else b"".join(map(word, self.words.findall(chunk)))
-        if len(self.chunks) < KEPT:
+        if len(chunk) <= SHORT and len(self.chunks) < KEPT:
             self.chunks[chunk] = ids
         return ids
 

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import PLAIN, byte_alphabet
+from .bpe import PLAIN, SHORT, byte_alphabet
 from .common import shared_dir
 
 # Unicode's White_Space characters
@@ -68,7 +68,7 @@ class Parts(dict):
 
     def __missing__(self, part: str) -> bytes:
         ids = self.encoder.part(self.lead + part)
-        if len(self) < KEPT:
+        if len(part) <= SHORT and len(self) < KEPT:
             self[part] = ids
         return ids
 
@@ -106,7 +106,7 @@ class PartEncoder:
         letters = self.letters
         tokens = self.library.model.tokenize("".join([letters[b] for b in word.encode()]))
         ids = array("i", [t.id for t in tokens]).tobytes()
-        if len(self.words) < KEPT:
+        if len(word) <= SHORT and len(self.words) < KEPT:
             self.words[word] = ids
         return ids
 

@@ -78,6 +78,29 @@ def test_round_trip_on_spark(spark, texts):
     assert bpe.encode_decode(df.limit(0), path).count() == 0
 
 
+def test_long_words_are_not_kept_and_caches_are_bounded(monkeypatch):
+    monkeypatch.setattr(bpe, "KEPT", 50)
+    rng = random.Random(1)
+    words = ["".join(rng.choices("abcdefghijklmnop", k=rng.randrange(3, 12))) for _ in range(800)]
+    text = " ".join(words) + " " + "x1" * 5000
+    code = bpe.WordCodec(tokenizer_path("word_bpe_49k.json"))
+    assert code.encode(text).tolist() == library("word_bpe_49k.json", [text])[0][0]
+    assert len(code.known) <= 50 and len(code.chunks) <= 50 and len(code.merges._fits) <= 50
+    assert max(map(len, [*code.known, *code.chunks])) <= bpe.SHORT
+    parts = tokenfiles.PartEncoder(tokenizer_path("byte_bpe_50k.json"))
+    assert np.frombuffer(parts.encode(text), "<i4").tolist() == library("byte_bpe_50k.json", [text])[0][0]
+    assert max(map(len, [*parts.rest, *parts.words])) <= bpe.SHORT
+
+
+def test_round_trip_of_null_and_repeated_ids(spark):
+    rows = [(None, "a b"), (None, "a b"), (1, "c"), (1, "d e"), (1, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = [(r["doc_id"], r["decoded"]) for r in bpe.encode_decode(df, tokenizer_path("word_bpe_49k.json")).collect()]
+    assert sorted(found, key=str) == sorted(
+        [(i, library("word_bpe_49k.json", [t or ""], decode=True)[1][0]) for i, t in rows], key=str
+    )
+
+
 def test_part_encoder_gives_the_library_s_ids(texts):
     ids, _ = library("byte_bpe_50k.json", texts)
     code = tokenfiles.PartEncoder(tokenizer_path("byte_bpe_50k.json"))
@@ -113,6 +136,8 @@ def test_token_files_are_selective(spark, tmp_path):
     tokens = next(c for name, c in columns.items() if name.startswith("tokens"))
     assert "RLE_DICTIONARY" in tokens.encodings and tokens.has_offset_index and tokens.compression == "ZSTD"
     assert "DELTA_BINARY_PACKED" in columns["doc_id"].encodings and columns["doc_id"].has_column_index
+    sizes = [meta.row_group(k).total_byte_size for k in range(meta.num_row_groups)]
+    assert max(sizes) <= 33 << 20 and sum(meta.row_group(k).num_rows for k in range(meta.num_row_groups)) == 8000
     plan = tokenfiles.read_tokens(spark, path).where("doc_id = 17").select("n_tokens")._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(doc_id,17)" in plan and "tokens:array" not in plan
 
