@@ -167,7 +167,8 @@ def fmin(x: Column, y: Column) -> Column:
 
 
 def round_half_away(x: Column) -> Column:
-    return F.when(x < 0, -F.floor(-x + 0.5)).otherwise(F.floor(x + 0.5))
+    """To a double; numbers of 2^52 or more are whole already."""
+    return F.when(F.abs(x) < float(1 << 52), F.round(x)).otherwise(x)
 
 
 def truncate(x: Column) -> Column:
@@ -268,10 +269,25 @@ def vec_unpack(vector: Column, n: int) -> list[Column]:
     return [F.element_at(vector, k + 1) for k in range(n)]
 
 
-def bits_of(x: Column) -> Column:
-    """The bits of a double as a long. Spark has no built-in for it, so this runs in Arrow batches."""
-    @F.pandas_udf("long")
+SAME_BITS = {"double": "bigint", "bigint": "double", "float": "int", "int": "float"}
+_NUMPY = {"double": np.float64, "bigint": np.int64, "float": np.float32, "int": np.int32}
+
+
+def coerce(x: Column, kind: str) -> Column:
+    """The same bits as the other type of their width: double and bigint, float and int. A null stays null.
+
+    Spark has no built-in for it, so this runs in Arrow batches.
+    """
+    to, start = _NUMPY[kind], _NUMPY[SAME_BITS[kind]]
+
+    @F.pandas_udf(kind)
     def view(s):
-        return pd.Series(s.to_numpy(np.float64).view(np.int64))
+        return pd.Series(np.ascontiguousarray(s.to_numpy(start)).view(to))
+
+    zero = F.lit(0).cast(SAME_BITS[kind])
+    return F.when(x.isNotNull(), view(F.coalesce(x, zero)))
 
-    return view(x)
+
+def bits_of(x: Column) -> Column:
+    """The bits of a double as a long."""
+    return coerce(x, "bigint")

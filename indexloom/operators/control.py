@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
-from pyspark.sql import functions as F
-
 from ..array import NDArray
-from ..plans.session import shared_folder
+from ..plans.session import discard, written
 
 
 def alet(bound: NDArray, body: Callable[[NDArray], NDArray], shared: bool = False) -> NDArray:
@@ -24,30 +21,26 @@ def acond(predicate: NDArray, then: Callable[[], NDArray], otherwise: Callable[[
 
 
 def awhile(
-    running: Callable[[NDArray], NDArray], step: Callable[[NDArray], NDArray], start: NDArray, every: int = 8
+    running: Callable[[NDArray], NDArray], step: Callable[[NDArray], NDArray], start: NDArray
 ) -> NDArray:
     """Apply step while the rank-0 boolean running(state) holds; zero rounds are allowed.
 
-    Every `every` rounds the state is written to the folder all executors share, which cuts the lineage.
+    Each round's state is written to the folder all executors share, which cuts the lineage, and the state before
+    it is deleted: the predicate and the next round read it instead of computing it anew.
     """
-    state, rounds = start, 0
+    state, before = start, None
     while running(state).collect()[0]:
-        state, rounds = step(state), rounds + 1
-        if rounds % every == 0:
-            state = _written(state)
+        state = step(state)
+        state = state.with_df(written(state.df, "state"))
+        if before is not None:
+            discard(before)
+        before = state.df
     return state
 
 
-def _written(a: NDArray) -> NDArray:
-    path = f"{shared_folder(a.df.sparkSession)}/state-{uuid.uuid4().hex}"
-    a.df.write.parquet(path)
-    return a.with_df(a.df.sparkSession.read.schema(a.df.schema).parquet(path))
-
-
-def atrace(a: NDArray, traced: NDArray, tell: Callable[[str], None] = print, name: str = "trace") -> NDArray:
-    """The array unchanged; the traced array's size and the extremes of its components are told first."""
-    parts = [F.count("*").alias("n")]
-    for c in traced.values:
-        parts += [F.min(c).alias(f"min_{c}"), F.max(c).alias(f"max_{c}")]
-    tell(f"{name}: {traced.df.agg(*parts).first().asDict()}")
+def atrace(a: NDArray, traced: NDArray, tell: Callable[[str], None] = print, name: str = "trace", most: int = 1000) -> NDArray:
+    """The array unchanged; the traced array's elements are told first, in order, or its first `most` and its extent."""
+    first = traced.df.orderBy(*traced.index).limit(most) if traced.rank else traced.df
+    rows = [tuple(r) if len(r) > 1 else r[0] for r in first.select(*traced.values).collect()]
+    tell(f"{name}: {rows}" + (f" ... of {traced.extent}" if traced.size > most else ""))
     return a

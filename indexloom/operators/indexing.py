@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from ..array import NDArray, axes, from_linear
 from ..sources import domain
 
+BROADCAST = 1_000_000  # elements of the side of a product that is broadcast
+
 
 def _moved(a: NDArray, extent: tuple[int, ...], index: list[Column], where: Column | None = None) -> NDArray:
     df = a.df if where is None else a.df.where(where)
@@ -23,12 +25,16 @@ def _moved(a: NDArray, extent: tuple[int, ...], index: list[Column], where: Colu
 def backpermute(a: NDArray, extent: tuple[int, ...], source: Callable[..., list[Column]]) -> NDArray:
     """out[ix] = a[source(ix)] over a new extent.
 
-    Every source index must lie in the array: elements that read outside are missing from the result, and
-    `checked` finds them.
+    Every source index must lie in the array; the task of an element that reads outside raises an error.
     """
     cells = domain(a.df.sparkSession, extent)
-    wanted = source(*[F.col(c) for c in cells.index])
-    asked = cells.df.select(*cells.index, *[c.cast("long").alias(f"_from{k}") for k, c in enumerate(wanted)])
+    wanted = [c.cast("long") for c in source(*[F.col(c) for c in cells.index])]
+    inside = F.lit(True)
+    for c, n in zip(wanted, a.extent):
+        inside = inside & F.coalesce((c >= 0) & (c < n), F.lit(False))
+    place = F.concat_ws(", ", *[F.coalesce(c.cast("string"), F.lit("null")) for c in wanted])
+    wrong = F.raise_error(F.concat(F.lit("backpermute: "), place, F.lit(f" is outside {a.extent}"))).cast("long")
+    asked = cells.df.select(*cells.index, *[F.when(inside, c).otherwise(wrong).alias(f"_from{k}") for k, c in enumerate(wanted)])
     held = a.df.select(*[F.col(c).alias(f"_from{k}") for k, c in enumerate(a.index)], *a.values)
     keys = [f"_from{k}" for k in range(a.rank)]
     joined = asked.join(held, keys) if keys else asked.join(held, F.lit(True))
@@ -83,15 +89,22 @@ def slice_at(a: NDArray, **fixed: int) -> NDArray:
 def replicate(a: NDArray, **new: int) -> NDArray:
     """Add axes by repetition: replicate(a, i0=5) repeats a vector as the rows of a matrix.
 
-    Names are those of the result's axes. Each element is exploded, so the array is not shuffled.
+    Names are those of the result's axes. The result is the product of the array with the range of the new axes. Both
+    sizes are known, so the smaller side is broadcast if it has `BROADCAST` rows or fewer, and no task makes
+    an element's copies alone.
     """
     rank = a.rank + len(new)
     names = axes(rank)
     old = iter(zip(a.index, a.extent))
-    df, index, extent = a.df, [], []
+    added = domain(a.df.sparkSession, tuple(new[name] for name in names if name in new))
+    copies = added.df.select(*[F.col(c).alias(f"_new_{name}") for c, name in zip(added.index, [n for n in names if n in new])])
+    if min(a.size, added.size) > BROADCAST:
+        df = a.df.crossJoin(copies)
+    else:
+        df = copies.join(F.broadcast(a.df)) if a.size <= added.size else a.df.join(F.broadcast(copies))
+    index, extent = [], []
     for name in names:
         if name in new:
-            df = df.withColumn(f"_new_{name}", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(new[name] - 1).cast("long"))))
             index.append(F.col(f"_new_{name}"))
             extent.append(new[name])
         else:

@@ -18,6 +18,7 @@ from ..sources import domain
 
 RUN = 1024
 CHUNK = 65_536
+PIECE = 32  # positions of a segment that are looked up together
 
 Combine = Monoid | Callable[[Column, Column], Column]
 
@@ -61,8 +62,8 @@ def fold(a: NDArray, op: Combine, seed: Column, value: str = "v") -> NDArray:
 
 
 def fold1(a: NDArray, op: Combine, value: str = "v") -> NDArray:
-    """Reduce the innermost axis, which must not be empty unless an outer one is."""
-    if a.extent[-1] == 0 and NDArray(a.df, a.extent[:-1]).size:
+    """Reduce the innermost axis, which must not be empty, whatever the outer ones are."""
+    if a.extent[-1] == 0:
         raise ValueError("fold1: empty array")
     return NDArray(_reduced(a, op, value), a.extent[:-1])
 
@@ -82,29 +83,32 @@ def segment_ranges(lengths: NDArray, value: str = "v") -> DataFrame:
     return starts.join(sizes, "seg").select("seg", "lo", (F.col("lo") + F.col("n")).alias("hi"))
 
 
-def segment_of(ranges: DataFrame) -> DataFrame:
-    """(at, seg) for every position in a segment.
+def segment_of(df: DataFrame, at: str, ranges: DataFrame) -> DataFrame:
+    """df with the segment `seg` that each row's position `at` lies in; rows in no segment are left out.
 
-    A segment is cut into pieces of CHUNK first, which are dealt anew, so that one long segment is laid out
-    by many tasks.
+    Segments are cut where a piece of PIECE positions ends. A row is joined to its piece's segments, which are few,
+    and keeps the one that holds it, so positions are not laid out, and a long segment is many pieces.
     """
+    def piece(c):
+        return F.call_function("div", c, F.lit(PIECE).cast("long"))
+
+    # in two steps, so that the longest segment's pieces aren't one array
     pieces = ranges.where("hi > lo").select(
-        "seg", "hi", F.explode(F.sequence("lo", F.col("hi") - 1, F.lit(CHUNK).cast("long"))).alias("start")
-    ).repartition("seg", "start")
-    return pieces.select(
-        "seg", F.explode(F.sequence("start", F.least(F.col("start") + CHUNK, F.col("hi")) - 1)).alias("at")
-    )
+        "lo", "hi", "seg", F.explode(F.sequence("lo", F.col("hi") - 1, F.lit(CHUNK).cast("long"))).alias("start")
+    ).select("seg", F.col("start").alias("lo"), F.least(F.col("start") + CHUNK, F.col("hi")).alias("hi"))
+    pieces = pieces.select("seg", "lo", "hi", F.explode(F.sequence(piece(F.col("lo")), piece(F.col("hi") - 1))).alias("_piece"))
+    held = (F.col(at) >= F.col("lo")) & (F.col(at) < F.col("hi"))
+    return df.withColumn("_piece", piece(F.col(at))).join(pieces, "_piece").where(held).drop("_piece", "lo", "hi")
 
 
 def fold_seg(a: NDArray, op: Combine, seed: Column, lengths: NDArray, value: str = "v", length: str = "v") -> NDArray:
     """Reduce each segment of the innermost axis, beginning with the seed; an empty segment gives the seed.
 
-    lengths: a vector of segment lengths, whose sum is at most the axis. Elements meet their segment by an
-    equi-join on the position, and segments are reduced by partial aggregates.
+    lengths: a vector of segment lengths, whose sum is at most the axis. Elements meet their segment as
+    `segment_of` tells, and segments are reduced by partial aggregates.
     """
     outer, last, n = a.index[:-1], a.index[-1], lengths.extent[0]
-    where = segment_of(segment_ranges(lengths, length))
-    rows = a.df.join(where, a.df[last] == where["at"]).select(*outer, "seg", last, value)
+    rows = segment_of(a.df.select(*a.index, value), last, segment_ranges(lengths, length))
     keys = [*outer, "seg"]
     if isinstance(op, Monoid):
         done = rows.groupBy(*keys).agg(op.aggregate(F.col(value)).alias(value))
@@ -124,8 +128,7 @@ def fold1_seg(a: NDArray, op: Combine, lengths: NDArray, value: str = "v", lengt
         F.col(length) > 0, F.col(length)
     ).otherwise(F.raise_error(F.lit("fold1_seg: empty segment")).cast("long")).alias(length)))
     outer, last = a.index[:-1], a.index[-1]
-    where = segment_of(segment_ranges(safe, length))
-    rows = a.df.join(where, a.df[last] == where["at"]).select(*outer, "seg", last, value)
+    rows = segment_of(a.df.select(*a.index, value), last, segment_ranges(safe, length))
     if isinstance(op, Monoid):
         done = rows.groupBy(*outer, "seg").agg(op.aggregate(F.col(value)).alias(value))
     else:

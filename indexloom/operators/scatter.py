@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from ..array import NDArray, axes
 from ..plans.monoid import SUM, Monoid
+from ..plans.session import written
 from ..sources import generate
 from .reduce import Combine, combine_of, ordered_tree
 
@@ -57,16 +58,18 @@ def histogram(source: NDArray, bins: int, bin_of: Callable[..., Column]) -> NDAr
 def compact(a: NDArray, keep: Callable[..., Column]) -> NDArray:
     """The elements of a vector for which keep holds, densely indexed in order.
 
-    An element's new index is the number of elements kept before it: a scan of flags, in chunks if the
-    vector is long. The new extent takes a count, which is one job over the flags.
+    A first pass counts the elements kept in each chunk of the index; the counts are written, and their sum is the new
+    extent. Kept elements are then numbered within their chunk, after those of the chunks before it.
     """
-    from .scan import scanl1
+    from .scan import CHUNK, scanl
 
-    flags = a.df.select(*a.index, keep(*[F.col(c) for c in a.values]).alias("_keep")).where("_keep")
-    n = flags.count()
-    marks = a.with_df(a.df.select(
-        *a.index, F.when(keep(*[F.col(c) for c in a.values]), 1).otherwise(0).cast("long").alias("_new")
-    ))
-    places = scanl1(marks, SUM, "_new").df
-    kept = a.df.where(keep(*[F.col(c) for c in a.values])).join(places, a.index)
-    return NDArray(kept.select((F.col("_new") - 1).alias("i0"), *a.values), (n,))
+    kept = keep(*[F.col(c) for c in a.values])
+    chunk = F.call_function("div", F.col("i0"), F.lit(CHUNK).cast("long"))
+    counts = a.df.groupBy(chunk.alias("i0")).agg(F.count_if(kept).alias("v"))
+    counts = NDArray(written(counts, "counts"), (-(-a.extent[0] // CHUNK),))
+    n = counts.df.agg(F.sum("v")).first()[0] or 0
+    starts = scanl(counts, SUM, F.lit(0).cast("long")).df.select(F.col("i0").alias("_chunk"), F.col("v").alias("_start"))
+    own = Window.partitionBy("_chunk").orderBy("i0")
+    numbered = a.df.where(kept).withColumn("_chunk", chunk).withColumn("_place", F.row_number().over(own) - 1)
+    placed = numbered.join(starts, "_chunk")
+    return NDArray(placed.select((F.col("_start") + F.col("_place")).alias("i0"), *a.values), (n,))

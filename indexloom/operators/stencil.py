@@ -1,22 +1,24 @@
 """Stencils: functions of each element's neighbourhood.
 
-Each element is sent to the cells that see it: it is exploded over the offsets, and a cell picks its
-neighbours with one aggregate, which combines partially where neighbours lie in one partition. Cells near
-the border also see what the boundary rule says; only those cells join the array for it.
+The array is enlarged by what the boundary rule says of the cells around it, which are few. Axis by axis, a cell then
+takes its neighbours from the rows beside it in a window. A long axis is cut into tiles of TILE indices for
+that, and only the cells within the radius of a tile's end are copied to the next tile. So an array is shuffled once
+for each axis with a radius, and not once for each cell of the box.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
-from itertools import product
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..array import NDArray
 from ..sources import domain
 
+TILE = 16_384
+
 
 class Clamp:
     """Outside cells are the nearest inside."""
@@ -56,12 +58,47 @@ class Function:
 Boundary = Clamp | Mirror | Wrap | Constant | Function
 
 
-def _outside(index: list[str], offsets: list[str], extent: tuple[int, ...]) -> Column:
-    out = F.lit(False)
-    for c, o, n in zip(index, offsets, extent):
-        at = F.col(c) + F.col(o)
-        out = out | (at < 0) | (at >= n)
-    return out
+def _around(a: NDArray, radii: tuple[int, ...], boundary: Boundary) -> DataFrame:
+    """(index, c0) of the cells outside the array within the radii, by slabs: each axis's two ends."""
+    slabs = None
+    for k, r in enumerate(radii):
+        if not r:
+            continue
+        box = (*a.extent[:k], 2 * r, *[n + 2 * s for n, s in zip(a.extent[k + 1 :], radii[k + 1 :])])
+        cells = domain(a.df.sparkSession, box)
+        index = []
+        for j, c in enumerate(cells.index):
+            i = F.col(c)
+            index.append(i if j < k else i - radii[j] if j > k else F.when(i < r, i - r).otherwise(i + (a.extent[k] - r)))
+        slab = cells.df.select(*[i.alias(c) for i, c in zip(index, cells.index)])
+        slabs = slab if slabs is None else slabs.union(slab)
+    places = [F.col(c) for c in a.index]
+    if isinstance(boundary, Constant):
+        return slabs.select(*a.index, boundary.value.alias("c0"))
+    if isinstance(boundary, Function):
+        return slabs.select(*a.index, boundary.f(*places).alias("c0"))
+    keys = [f"_from{k}" for k in range(a.rank)]
+    asked = slabs.select(*a.index, *[boundary.source(p, n).alias(k) for p, n, k in zip(places, a.extent, keys)])
+    held = a.df.select(*[F.col(c).alias(k) for c, k in zip(a.index, keys)], F.col("c0"))
+    return asked.join(held, keys).select(*a.index, "c0")
+
+
+def _beside(df: DataFrame, index: list[str], axis: int, n: int, r: int, cells: list[str]) -> tuple[DataFrame, list[str]]:
+    """df within 0 <= index < n of an axis, with the cells of the 2 r + 1 rows around each row, first row first."""
+    at = F.col(index[axis]) + r  # from 0
+    tile = F.call_function("div", at, F.lit(TILE).cast("long"))
+    if n + 2 * r > TILE:
+        place = at % TILE
+        near = F.array(tile, F.when(place < 2 * r, tile - 1), F.when(place >= TILE - 2 * r, tile + 1))
+        df = df.withColumn("_tile", F.explode(F.array_compact(near)))
+    else:
+        df = df.withColumn("_tile", F.lit(0).cast("long"))
+    rows = Window.partitionBy("_tile", *[c for k, c in enumerate(index) if k != axis]).orderBy(index[axis])
+    shifted = [F.lag(c, -o).over(rows) if o else F.col(c) for o in range(-r, r + 1) for c in cells]
+    names = [f"c{k}" for k in range(len(shifted))]
+    own = df.select(*index, (F.col("_tile") == tile).alias("_own"), *[s.alias(f"_{c}") for s, c in zip(shifted, names)])
+    inside = own.where(F.col("_own") & (F.col(index[axis]) >= 0) & (F.col(index[axis]) < n))
+    return inside.select(*index, *[F.col(f"_{c}").alias(c) for c in names]), names
 
 
 def _neighbours(a: NDArray, radii: tuple[int, ...], boundary: Boundary, value: str) -> DataFrame:
@@ -70,40 +107,14 @@ def _neighbours(a: NDArray, radii: tuple[int, ...], boundary: Boundary, value: s
         raise ValueError("a stencil has one radius of 0 to 4 for each axis")
     if isinstance(boundary, (Clamp, Mirror, Wrap)) and any(r >= n > 0 for r, n in zip(radii, a.extent)):
         raise ValueError("an extent is no larger than its radius")
-    box = list(product(*[range(-r, r + 1) for r in radii]))
-    offs = [f"_o{k}" for k in range(a.rank)]
-
-    def offset_rows() -> Column:
-        rows = [F.struct(F.lit(k).alias("_k"), *[F.lit(x).cast("long").alias(o) for x, o in zip(off, offs)]) for k, off in enumerate(box)]
-        return F.explode(F.array(*rows))
-
-    sent = a.df.select(*a.index, F.col(value).alias("_v"), offset_rows().alias("_off")).select(
-        *[(F.col(c) - F.col(f"_off.{o}")).alias(c) for c, o in zip(a.index, offs)], F.col("_off._k").alias("_k"), "_v"
-    )
-    inside = F.lit(True)
-    for c, n in zip(a.index, a.extent):
-        inside = inside & (F.col(c) >= 0) & (F.col(c) < n)
-    rows = sent.where(inside)
-
-    if any(radii) and a.size:
-        border = F.lit(False)
-        for c, n, r in zip(a.index, a.extent, radii):
-            border = border | (F.col(c) < r) | (F.col(c) >= n - r)
-        cells = domain(a.df.sparkSession, a.extent).df.where(border)
-        over = cells.select(*a.index, offset_rows().alias("_off")).select(*a.index, "_off.*").where(_outside(a.index, offs, a.extent))
-        places = [F.col(c) + F.col(o) for c, o in zip(a.index, offs)]
-        if isinstance(boundary, Constant):
-            extra = over.select(*a.index, "_k", boundary.value.alias("_v"))
-        elif isinstance(boundary, Function):
-            extra = over.select(*a.index, "_k", boundary.f(*places).alias("_v"))
-        else:
-            keys = [f"_from{k}" for k in range(a.rank)]
-            asked = over.select(*a.index, "_k", *[boundary.source(p, n).alias(k) for p, n, k in zip(places, a.extent, keys)])
-            held = a.df.select(*[F.col(c).alias(k) for c, k in zip(a.index, keys)], F.col(value).alias("_v"))
-            extra = asked.join(held, keys).select(*a.index, "_k", "_v")
-        rows = rows.unionByName(extra)
-    picks = [F.max(F.when(F.col("_k") == k, F.col("_v"))).alias(f"c{k}") for k in range(len(box))]
-    return rows.groupBy(*a.index).agg(*picks)
+    a = a.with_df(a.df.select(*a.index, F.col(value).alias("c0")))
+    df, cells = a.df, ["c0"]
+    if a.size and any(radii):
+        df = df.unionByName(_around(a, radii, boundary))
+    for axis in reversed(range(a.rank)):
+        if radii[axis]:
+            df, cells = _beside(df, a.index, axis, a.extent[axis], radii[axis], cells)
+    return df.select(*a.index, *cells)
 
 
 def stencil(

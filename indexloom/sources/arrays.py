@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..array import NDArray, axes, from_linear
@@ -50,6 +50,22 @@ def from_table(spark: SparkSession, path: str, index: str, **values: Column | st
     return use(df, [index], (df.count(),), **values)
 
 
+def from_rows(df: DataFrame, **values: Column | str) -> NDArray:
+    """A rank-1 array of a table without an index, numbered 0, 1, ... in the order of its scan.
+
+    A first pass counts the rows of each of the scan's partitions; a row's index is its place in its own, after those
+    of the partitions before it.
+    """
+    part, place = F.spark_partition_id(), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = df.groupBy(part.alias("_part")).agg(F.count("*").alias("_n")).persist()  # a row for each partition
+    before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select("_part", F.coalesce(before, F.lit(0)).alias("_start"))
+    n = sizes.agg(F.sum("_n")).first()[0] or 0
+    parts = [(F.col(v) if isinstance(v, str) else v).alias(k) for k, v in values.items()]
+    rows = df.select(part.alias("_part"), place.alias("_place"), *parts).join(starts, "_part", "left")
+    return NDArray(rows.select((F.col("_start") + F.col("_place")).alias("i0"), *values), (n,))
+
+
 def from_local(spark: SparkSession, values: Iterable, extent: tuple[int, ...] | None = None, kind: str = "long") -> NDArray:
     """Local values in row-major order as component v."""
     values = list(values)

@@ -76,11 +76,52 @@ def test_gathers(spark):
         op.reshape(m, (5, 2))
 
 
-def test_gather_outside_is_found(spark):
-    from indexloom.operators.indexing import checked
+def test_gather_outside_raises(spark):
+    with pytest.raises(Exception, match="is outside"):
+        op.backpermute(vec(spark, SMALL), (3,), lambda i: [i + 1]).collect()
 
-    with pytest.raises(IndexError):
-        checked(op.backpermute(vec(spark, SMALL), (3,), lambda i: [i + 1]))
+
+@pytest.mark.parametrize("limit", [0, 2, 1000])
+def test_replicate_by_products(spark, limit, monkeypatch):
+    from indexloom.operators import indexing
+
+    monkeypatch.setattr(indexing, "BROADCAST", limit)
+    m = generate(spark, (2, 3), lambda i, j: {"v": i * 10 + j})
+    got = op.replicate(m, i0=4, i2=2)
+    assert got.extent == (4, 2, 2, 3)
+    assert got.collect() == [i * 10 + j for _ in range(4) for i in range(2) for _ in range(2) for j in range(3)]
+    assert op.replicate(op.fold(vec(spark, SMALL), M.SUM, long(0)), i0=3).collect() == [14, 14, 14]
+
+
+def test_rows_are_numbered_densely(spark):
+    from indexloom.sources import from_rows
+
+    a = from_rows(spark.range(0, 1000, 1, 7).selectExpr("id * 2 as x"), v="x")
+    assert a.extent == (1000,) and a.collect() == [2 * k for k in range(1000)]
+    assert sorted(r["i0"] for r in a.df.collect()) == list(range(1000))
+    assert from_rows(spark.range(0).selectExpr("id as x"), v="x").extent == (0,)
+
+
+def test_long_and_many_segments(spark):
+    values = [k * 7 % 11 for k in range(500)]
+    lengths = [0, 1, 200, 0, 0, 3, 31, 32, 33, 100, 0]
+    got = op.fold_seg(vec(spark, values), M.SUM, long(1), vec(spark, lengths)).collect()
+    model, at = [], 0
+    for n in lengths:
+        model.append(1 + sum(values[at : at + n]))
+        at += n
+    assert got == model
+
+
+def test_compact_over_chunks(spark, monkeypatch):
+    from indexloom.operators import scan
+
+    monkeypatch.setattr(scan, "CHUNK", 16)
+    a = op.amap(vec(spark, list(range(200))), lambda v: {"v": v, "w": v * 2})
+    kept = op.compact(a, lambda v, w: (v % 3 == 0) & ((v < 40) | (v > 90)))
+    model = [(v, 2 * v) for v in range(200) if v % 3 == 0 and (v < 40 or v > 90)]
+    assert kept.collect() == model and kept.extent == (len(model),)
+    assert op.compact(a, lambda v, w: v < 0).collect() == []
 
 
 def test_fold(spark):
@@ -95,7 +136,9 @@ def test_fold(spark):
     assert op.fold(generate(spark, (3, 0), lambda i, j: {"v": i}), M.SUM, long(5)).collect() == [5, 5, 5]
     with pytest.raises(ValueError):
         op.fold1(vec(spark, []), M.SUM)
-    assert op.fold1(generate(spark, (0, 0), lambda i, j: {"v": i}), M.SUM).collect() == []
+    with pytest.raises(ValueError):
+        op.fold1(generate(spark, (0, 0), lambda i, j: {"v": i}), M.SUM)
+    assert op.fold1(generate(spark, (0, 2), lambda i, j: {"v": i}), M.SUM).collect() == []
 
 
 @pytest.mark.parametrize("monoid,model", [
@@ -204,6 +247,33 @@ def test_stencils(spark, k, radius):
     assert got.collect() == model
 
 
+@pytest.mark.parametrize("k", range(5))
+def test_stencils_over_tiles(spark, k, monkeypatch):
+    import sys
+
+    monkeypatch.setattr(sys.modules["indexloom.operators.stencil"], "TILE", 16)
+    boundary, rule = RULES[k]
+    values = [x * x % 17 for x in range(75)]
+    got = op.stencil(vec(spark, values), (4,), boundary(), lambda c: sum((x * (j + 1) for j, x in enumerate(c)), long(0)))
+    model = [sum(x * (j + 1) for j, x in enumerate(c)) for c in neighbourhood(values, 4, rule(values))]
+    assert got.collect() == model
+
+
+@pytest.mark.parametrize("boundary,at", [
+    (op.Mirror(), lambda i, n: -i if i < 0 else 2 * n - 2 - i if i >= n else i), (op.Wrap(), lambda i, n: i % n),
+    (op.Clamp(), lambda i, n: max(0, min(n - 1, i))),
+])
+def test_stencil_corners(spark, boundary, at):
+    m = generate(spark, (4, 5), lambda i, j: {"v": i * 10 + j})
+    got = op.stencil(m, (2, 1), boundary, lambda c: sum((x * (j + 1) for j, x in enumerate(c)), long(0))).collect()
+    box = list(product(range(-2, 3), range(-1, 2)))
+    assert got == [
+        sum((at(i + a, 4) * 10 + at(j + b, 5)) * (k + 1) for k, (a, b) in enumerate(box)) for i in range(4) for j in range(5)
+    ]
+    values = op.stencil(m, (1, 1), op.Function(lambda i, j: i * 100 + j), lambda c: c[0]).collect()
+    assert values[0] == -101 and values[6] == 0
+
+
 def test_stencil_shapes(spark):
     m = generate(spark, (3, 4), lambda i, j: {"v": i * 10 + j})
     assert op.stencil(m, (0, 0), op.Clamp(), lambda c: c[0] * 2).collect() == [2 * x for x in m.collect()]
@@ -228,7 +298,7 @@ def test_control(spark, capsys):
     total = op.fold(a, M.SUM, long(0))
     assert op.acond(op.amap(total, lambda v: {"v": v > 10}), lambda: a, lambda: None).collect() == SMALL
     below = lambda s: op.amap(op.fold1(s, M.MAX), lambda v: {"v": v < 1000})
-    done = op.awhile(below, lambda s: op.amap(s, lambda v: {"v": v * 2}), a, every=3)
+    done = op.awhile(below, lambda s: op.amap(s, lambda v: {"v": v * 2}), a)
     assert done.collect() == [x * 128 for x in SMALL]
     assert op.awhile(below, lambda s: s, vec(spark, [5000])).collect() == [5000]
     assert op.alet(total, lambda t: t, shared=True).collect() == [14]
@@ -246,6 +316,17 @@ def test_foreign(spark):
     assert op.foreign_acc(a, native, lambda x: x).collect() == [24, 12, 6]
     assert op.foreign_acc(a, None, lambda x: x).collect() == SMALL
 
+    def missing(frames):
+        import no_such_module  # noqa: F401
+
+        yield from frames
+
+    def unable(frames):
+        raise NotImplementedError
+
+    for native in (missing, unable):
+        assert op.foreign_acc(a, native, lambda x: op.amap(x, lambda v: {"v": v + 1})).collect() == [9, 5, 3]
+
 
 def test_run(spark, tmp_path):
     a = vec(spark, SMALL)
@@ -253,6 +334,9 @@ def test_run(spark, tmp_path):
     assert run((a, double(a))) == (SMALL, [16, 8, 4])
     assert run_n(double)(a) == [16, 8, 4] and run_with(spark, lambda s: vec(s, [1])) == [1]
     assert run_async(spark, a).wait() == SMALL
+    from indexloom.plans.session import create_target
+
+    assert create_target() is spark or create_target().sparkContext is spark.sparkContext
     assert run_n_async(spark, double)(a).wait() == [16, 8, 4]
     assert list(stream(double, [a, vec(spark, [1])])) == [[16, 8, 4], [2]]
     to_parquet(a, str(tmp_path / "a"))

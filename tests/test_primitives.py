@@ -124,3 +124,23 @@ def test_collatz_needs_over_400_steps(spark, tmp_path):
 
     spark.sql("select 230630L p_partkey, 1.0D p_retailprice, 1 p_size").write.parquet(str(tmp_path / "part.parquet"))
     assert [tuple(r) for r in catalog.while_collatz(spark, str(tmp_path)).select("v").collect()] == [(442,)]
+
+
+def test_coerce_keeps_the_bits(spark):
+    import struct
+
+    x = F.col("x")
+    reals = [0.0, -0.0, 1.5, -2.0, math.inf, -math.inf, 5e-324, None]
+    longs = [None if v is None else struct.unpack("<q", struct.pack("<d", v))[0] for v in reals]
+    assert each(spark, reals, "double", P.coerce(x, "bigint")) == [(v,) for v in longs]
+    assert each(spark, longs, "bigint", P.coerce(x, "double")) == [(v,) for v in reals]
+    small = [0.0, 1.5, -2.0, math.inf, None]
+    ints = [None if v is None else struct.unpack("<i", struct.pack("<f", v))[0] for v in small]
+    assert each(spark, small, "float", P.coerce(x, "int")) == [(v,) for v in ints]
+    assert each(spark, ints, "int", P.coerce(x, "float")) == [(v,) for v in small]
+
+
+def test_rounding_at_the_edges(spark):
+    values = [0.49999999999999994, 0.5, -0.5, 2.5, -2.5, 4503599627370497.0, -4503599627370497.0, 9007199254740993.0, 1e300, math.inf]
+    got = each(spark, values, "double", P.round_half_away(F.col("x")))
+    assert got == [(v,) for v in [0.0, 1.0, -1.0, 3.0, -3.0, 4503599627370497.0, -4503599627370497.0, 9007199254740992.0, 1e300, math.inf]]
