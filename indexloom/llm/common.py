@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from weakref import WeakKeyDictionary
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.session import discard, written_bytes
+from ..plans.session import shared_folder as shared_dir
+from ..plans.session import written as materialize
+
+__all__ = ["discard", "lower_ascii", "materialize", "shared_dir", "signed", "table", "tokenizer_path", "written_bytes"]
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
-_own_dirs: dict[str, str] = {}
-_written: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()  # where materialize has put a table
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -27,57 +26,6 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir of the session.
-
-    Where it is unset, a local master gets a folder of its own; on any other master that
-    would be a machine-local path, so the setting is then asked for.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path:
-        return path.rstrip("/")
-    context = spark.sparkContext
-    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-    if context.applicationId not in _own_dirs:
-        _own_dirs[context.applicationId] = tempfile.mkdtemp(prefix="spark-")
-    return "file://" + _own_dirs[context.applicationId]
-
-
-def materialize(df: DataFrame, label: str, **options: str) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and return the table.
-
-    Cuts the lineage, so that a lost executor costs the rerun of its tasks only, and computes
-    df once where several branches read it.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.options(**options).parquet(path)
-    table = spark.read.schema(df.schema).parquet(path)
-    _written[table] = path
-    return table
-
-
-def discard(*tables: DataFrame) -> None:
-    """Delete tables of materialize that nothing will read again: what came of them has been written.
-
-    DataFrames of another origin are left alone.
-    """
-    for df in tables:
-        if path := _written.pop(df, None):
-            place = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
-
-
-def written_bytes(table: DataFrame) -> int | None:
-    """The size of a table of materialize, from its files; None for other DataFrames."""
-    if not (path := _written.get(table)):
-        return None
-    place = table.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
-    files = place.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf())
-    return files.getContentSummary(place).getLength()
-
-
 def lower_ascii(col: Column) -> Column:
     """Lower-case A-Z and nothing else."""
     return F.translate(col, UPPER, LOWER)
