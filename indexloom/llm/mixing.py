@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
+LARGEST = 200.0  # mean of one draw; a larger one is the sum of several draws, so that no table grows with it
 DIGITS = 13  # hexadecimal digits of the hash that make the uniform number: 52 bits
 
 
@@ -78,15 +79,26 @@ def mix_sources(
 ) -> DataFrame:
     """Every row of docs as often as its draw says, with its copy number from 1 in `copy`, dealt globally.
 
-    Rows that share an id share its draw. A null source is a source of its own. `copy` replaces a
-    column of that name.
+    Rows that share an id, or have none, share its draw. A null source is a source of its own; a null text has no
+    bytes, and texts of any length are only moved. `copy` replaces a column of that name. An empty table gives no rows.
     """
     rates = source_rates(docs, source_col, text_col, weights, temperature, growth)
-    tables = materialize(rates.select(F.col("source").alias("_loom_source"), poisson_table(F.col("rate")).alias("_loom_cdf")), "rates")
+    parts = F.greatest(F.lit(1), F.ceil(F.col("rate") / F.lit(LARGEST)).cast("int"))
+    tables = rates.withColumn("_loom_parts", parts).select(
+        F.col("source").alias("_loom_source"), "_loom_parts", poisson_table(F.col("rate") / F.col("_loom_parts")).alias("_loom_cdf")
+    )
+    tables = materialize(tables, "rates")
     drawn = docs.drop("copy").join(tables, docs[source_col].eqNullSafe(tables["_loom_source"]))
-    u = uniform(F.lit(f"poisson{seed}"), F.col(id_col).cast("string"))
-    copies = F.size(F.filter("_loom_cdf", lambda c: c < u))
-    drawn = drawn.withColumn("_loom_n", copies).drop("_loom_cdf", "_loom_source").where("_loom_n > 0")
+    word, name = F.lit(f"poisson{seed}"), F.col(id_col).cast("string")
+
+    def inverse(u):
+        return F.size(F.filter("_loom_cdf", lambda c: c < u))
+
+    more = F.aggregate(
+        F.sequence(F.lit(1), F.col("_loom_parts") - 1), F.lit(0), lambda a, j: a + inverse(uniform(word, name, j.cast("string")))
+    )
+    copies = inverse(uniform(word, name)) + F.when(F.col("_loom_parts") > 1, more).otherwise(0)
+    drawn = drawn.withColumn("_loom_n", copies).drop("_loom_cdf", "_loom_source", "_loom_parts").where("_loom_n > 0")
     copied = drawn.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_loom_n")))).drop("_loom_n")
     place = F.xxhash64(F.lit(seed), F.col(id_col), F.col("copy"))
     dealt = copied.withColumn("_loom_place", place).repartition("_loom_place").sortWithinPartitions("_loom_place")

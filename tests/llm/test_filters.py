@@ -298,6 +298,15 @@ def test_poisson_counts(spark):
     assert mixed.columns.count("copy") == 1 and mixed.where("source is null").count() > 0
 
 
+def test_large_rates_are_sums_of_draws(spark):
+    rows = [(i, "x" * 100_000 if i == 7 else "x" * 50, "tiny" if i < 20 else "big") for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    sizes = {s: sum(len(t) for _, t, o in rows if o == s) for s in ("tiny", "big")}
+    rate = 0.9 * sum(sizes.values()) / sizes["tiny"] * 1000
+    found = Counter(r["doc_id"] for r in mixing.mix_sources(df, weights={"tiny": 9.0, "big": 1.0}, growth=1000.0).where("source = 'tiny'").select("doc_id").collect())
+    assert rate > 5 * mixing.LARGEST and all(abs(found[i] - rate) < 6 * rate**0.5 for i in range(20)) and len(set(found.values())) > 10
+
+
 def test_mixing_weights_and_edges(spark):
     rows = [(i, "x" * 10, "a" if i < 900 else "b") for i in range(1000)] + [(5000, None, "c"), (None, "y", "a")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
