@@ -9,7 +9,7 @@ from ..plans.session import discard, written_bytes
 from ..plans.session import shared_folder as shared_dir
 from ..plans.session import written as materialize
 
-__all__ = ["discard", "lower_ascii", "materialize", "shared_dir", "signed", "table", "tokenizer_path", "written_bytes"]
+__all__ = ["discard", "lower_ascii", "materialize", "shared_dir", "signed", "spread", "table", "tokenizer_path", "written_bytes"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
@@ -19,6 +19,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table that is read from fewer files than there are cores, dealt evenly over the cores; others as they are.
+
+    A file's row group is one task's, so that a few large ones would leave the other cores without work.
+    """
+    files, cores = len(df._jdf.inputFiles()), df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if files < cores else df
+
+
 def tokenizer_path(name: str) -> str:
     """The place of a public tokenizer's file, the same on every machine."""
     import public_tokenizers

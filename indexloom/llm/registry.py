@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, kdsearch, licenses, linededup, mixing, quality, sharding, simhash, tokenfiles, urlfilter
-from .common import table, tokenizer_path
+from .common import spread, table, tokenizer_path
 
 
 def op1_kd_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,7 +17,7 @@ def op1_kd_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = quality.judged(table(spark, sf_dir, "documents"))
+    found = quality.judged(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
     return found.select("doc_id", *quality.FEATURES[:5], "base_failed", "kept")
 
 
@@ -28,7 +28,7 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
+    return licenses.scan_licenses(spread(table(spark, sf_dir, "documents").select("doc_id", "text"))).drop("spans")
 
 
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,12 +36,13 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    classes = simhash.near_classes(table(spark, sf_dir, "documents"))
+    classes = simhash.near_classes(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
     return classes.select("doc_id", simhash.fingerprint_hex("fp").alias("fingerprint"), "component_id")
 
 
 def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.coded_digests(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return bpe.coded_digests(docs, tokenizer_path("word_bpe_49k.json"))
 
 
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from indexloom.llm import licenses, mixing, quality, urlfilter
+from indexloom.llm.common import spread
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -58,6 +59,36 @@ def posteriors_of(counts, rounds):
     return dict(zip(patterns, q))
 
 
+def test_repeated_words_against_plain_windows(spark):
+    rng = random.Random(5)
+    texts = ["", "a b c d e f g", "a b c d e f g h", "a " * 8, "a " * 9, "a b " * 3000]
+    texts += [" ".join(rng.choices("ab" if k % 2 else "abcdefgh", k=rng.randrange(60))) for k in range(200)]
+    rows = [(k, t) for k, t in enumerate(texts)] + [(len(texts), None)]
+
+    def plain(text):
+        words = (text or "").split()
+        windows = [tuple(words[i : i + 8]) for i in range(len(words) - 7)]
+        times = Counter(windows)
+        return len({i + k for i, w in enumerate(windows) if times[w] > 1 for k in range(8)})
+
+    found = quality.features(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["n_repeat_words"] for r in found} == {k: plain(t) for k, t in rows}
+
+
+def test_spread_deals_few_files_over_the_cores(spark, tmp_path):
+    cores = spark.sparkContext.defaultParallelism
+    for name, rows, files in (("one", 1000, 1), ("none", 0, 1), ("many", 1000, 2 * cores)):
+        spark.range(rows).repartition(files).write.parquet(f"{tmp_path}/{name}")
+        table = spark.read.parquet(f"{tmp_path}/{name}")
+        dealt = spread(table)
+        assert sorted(r[0] for r in dealt.collect()) == list(range(rows))
+        if name == "one":
+            sizes = [r[1] for r in dealt.groupBy(F.spark_partition_id()).count().collect()]
+            assert len(sizes) == cores and max(sizes) < 2 * min(sizes)
+        if name == "many":
+            assert dealt is table
+
+
 def test_expectation_maximisation(spark):
     rng = random.Random(2)
     rules = len(quality.RULES)
