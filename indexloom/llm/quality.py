@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
-WINDOW = 8
+WINDOW = 8  # a power of two
 # Function words of the corpus's languages: fixed values
 FUNCTION_WORDS = (
     "the of and to in a is that for with der die und den das ist nicht von mit "
@@ -58,12 +58,17 @@ def repeat_words(words: Column) -> Column:
     return let(words, _repeat_words)
 
 
+def _of_halves(width: int):
+    """From the hashes of windows of `width` words to those of twice as many; the last `width` mean nothing."""
+    return lambda half: F.transform(half, lambda h, i: F.xxhash64(h, F.get(half, i + F.lit(width))))
+
+
 def _repeat_words(words: Column) -> Column:
     n = F.size(words)
-    keys = F.when(
-        n >= WINDOW,
-        F.transform(F.sequence(F.lit(1), F.greatest(n - (WINDOW - 1), F.lit(1))), lambda i: F.xxhash64(F.slice(words, i, WINDOW))),
-    ).otherwise(F.array().cast("array<bigint>"))
+    keys, width = F.transform(words, lambda w: F.xxhash64(w)), 1
+    while width < WINDOW:  # a window's hash is that of its halves' hashes: every word is hashed once
+        keys, width = let(keys, _of_halves(width)), 2 * width
+    keys = F.when(n >= WINDOW, F.slice(keys, 1, n - (WINDOW - 1))).otherwise(F.array().cast("array<bigint>"))
 
     def covered(keys):
         ranked = F.sort_array(F.transform(keys, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
