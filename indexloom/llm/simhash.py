@@ -18,9 +18,12 @@ value (28 + 1 at most) are linked to the smallest of them.
 Near copies (`keep_one`): the contract asks for five-word shingles and a similarity of 0.8. A pair's
 fingerprints of those differ in some ten bits, beyond any selective covering. So documents are found by
 the fingerprint of their words, each weighted by the root of its count: it differs in three bits on average,
-and few such pairs differ in more than six. A link counts if the fingerprints of the five-word shingles agree as those of similar texts do.
+and few such pairs differ in more than six, if their fingerprints of five-word shingles agree roughly too.
 The first few tables are settled before the others, whose rows then carry their group: what is in one group
 already is neither compared nor linked again, so that a large group costs about one link for each member.
+These groups are candidates. Within each, texts link if their similarity is 0.8 or more by a sketch of 1,024
+bits and the number of shingles: 16 further fingerprints, each of the hashes mixed anew. The angle between two
+sketches gives the shared shingles, with a standard error of 0.024 in the similarity at 0.8.
 
 Texts of any length are hashed in chunks; nulls, repeats and empty tables are told by each function.
 """
@@ -44,6 +47,8 @@ BITS = 64
 SEED = 42
 CHUNK = 1 << 15
 FIRST_TABLES = 6  # of a wide covering, settled before the others
+LANES = 16  # of a sketch, 64 bits each
+COSINES = np.cos(np.pi * np.arange(BITS * LANES + 1) / (BITS * LANES))  # by the differing bits of two sketches
 
 
 def shingle_hashes(text: bytes, width: int):
@@ -61,10 +66,11 @@ def shingle_hashes(text: bytes, width: int):
 
 
 def _majority(hashes, n: int, weights: np.ndarray | None = None) -> int:
-    """The bits set in over half of n hashes, or of their weights, as an unsigned number."""
+    """The bits set in over half of n hashes (an iterator or an array), or of their weights, as an unsigned number."""
     ones = np.zeros(BITS, np.int64)
     for at in range(0, n, CHUNK):
-        part = np.fromiter(hashes, np.uint64, min(CHUNK, n - at))
+        held = isinstance(hashes, np.ndarray)
+        part = hashes[at : at + CHUNK] if held else np.fromiter(hashes, np.uint64, min(CHUNK, n - at))
         bits = np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         ones += bits.sum(axis=0, dtype=np.uint32) if weights is None else weights[at : at + CHUNK] @ bits
     whole = n if weights is None else int(weights.sum())
@@ -77,11 +83,28 @@ def fingerprint(text: bytes | None, width: int = 3) -> int:
     return _majority(hashes, n) if n else 0
 
 
-def set_fingerprint(text: bytes | None, width: int) -> int:
+def set_fingerprint(different: np.ndarray) -> int:
     """The SimHash of a text's different shingles, each of which counts once."""
-    hashes, n = shingle_hashes(text or b"", width)
-    different = set(hashes)
-    return _majority(iter(different), len(different)) if n else 0
+    return _majority(different, len(different)) if len(different) else 0
+
+
+def mixed(hashes: np.ndarray, lane: int) -> np.ndarray:
+    """Other hashes of the same things, by the finaliser of SplitMix64."""
+    x = hashes + np.uint64(lane * 0x9E3779B97F4A7C15 % (1 << BITS))
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(31)
+
+
+def sketch(different: np.ndarray) -> bytes:
+    """LANES fingerprints of a set of hashes, in little-endian order."""
+    return b"".join(set_fingerprint(mixed(different, lane)).to_bytes(8, "little") for lane in range(1, LANES + 1))
+
+
+def copy_prints(text: bytes | None, width: int) -> tuple[int, int, int, bytes]:
+    """What `keep_one` compares of a text: its words' fingerprint, and fingerprint, number and sketch of its different shingles."""
+    different = np.fromiter(set(shingle_hashes(text or b"", width)[0]), np.uint64)
+    return signed(word_fingerprint(text)), signed(set_fingerprint(different)), len(different), sketch(different)
 
 
 def word_fingerprint(text: bytes | None) -> int:
@@ -92,26 +115,27 @@ def word_fingerprint(text: bytes | None) -> int:
     return _majority(hashes, len(counts), weights) if counts else 0
 
 
-def _printed(docs: DataFrame, carried: dict[str, Column], text_col: str, prints: dict) -> DataFrame:
-    """The carried columns, and for each print of the text (name: function) a long, for every row."""
+def _printed(docs: DataFrame, carried: dict[str, Column], text_col: str, fields: str, function) -> DataFrame:
+    """The carried columns, and what the function makes of the text (a tuple of `fields`), for every row."""
+    slim = docs.select(*[c.alias(n) for n, c in carried.items()], F.col(text_col).alias("_text"))
+    shape, at = slim.drop("_text").schema, len(carried)
+    for field in fields.split(", "):
+        shape = shape.add(*field.split())
+    types = [pa.binary() if f.endswith("binary") else pa.int64() for f in fields.split(", ")]
+    names = shape.names
 
     def task(batches):
         for batch in batches:
-            texts = batch.column(at).cast(pa.binary())
-            found = [np.fromiter((f(t.as_py()) for t in texts), np.uint64, len(texts)) for f in functions]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:at], *[pa.array(x.view(np.int64)) for x in found]], names=names)
+            found = [function(t.as_py()) for t in batch.column(at).cast(pa.binary())]
+            made = [pa.array([f[k] for f in found], kind) for k, kind in enumerate(types)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:at], *made], names=names)
 
-    names, functions, at = [*carried, *prints], list(prints.values()), len(carried)
-    slim = docs.select(*[c.alias(n) for n, c in carried.items()], F.col(text_col).alias("_text"))
-    shape = slim.drop("_text").schema
-    for name in prints:
-        shape = shape.add(name, "long")
     return slim.mapInArrow(task, shape)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
     """(id_col, fp long) for every row; a null text has no words."""
-    printed = _printed(docs, {"id": F.col(id_col)}, text_col, {"fp": lambda text: fingerprint(text, width)})
+    printed = _printed(docs, {"id": F.col(id_col)}, text_col, "fp long", lambda text: (signed(fingerprint(text, width)),))
     return printed.withColumnRenamed("id", id_col)
 
 
@@ -283,7 +307,7 @@ def forest(rows: np.ndarray, radius: int, apart: int) -> np.ndarray:
 
 
 def near_groups(nodes: DataFrame, radius: int, apart: int = BITS, pair_limit: int = 20_000) -> DataFrame:
-    """(node, group) of nodes (node, fp, check): the components over near pairs, named by one of their nodes."""
+    """(node, fp, check, group) of nodes (node, fp, check): the components over near pairs, named by one of their nodes."""
     current = nodes.select("node", "fp", "check", F.col("node").alias("group"))
     rounds = [slice(FIRST_TABLES), slice(FIRST_TABLES, None)] if len(covering_masks(radius)) > FIRST_TABLES else [slice(None)]
     for tables in rounds:
@@ -293,7 +317,73 @@ def near_groups(nodes: DataFrame, radius: int, apart: int = BITS, pair_limit: in
             moved.select("node", "fp", "check", F.coalesce("root", "group").alias("group")), "groups"
         )
         discard(before, found)
-    return current.select("node", "group")
+    return current
+
+
+def similar_links(members: DataFrame, least: float, pair_limit: int = 20_000) -> DataFrame:
+    """Links (a, b) between the nodes of members (node, size, sketch, group) that are similar and of one group.
+
+    Similar: the estimate of the similarity of their shingles is `least` or more. The links connect what all such
+    pairs connect. A group above `pair_limit` is cut into blocks by hash, and each pair of blocks is a task's.
+    """
+    parts = members.groupBy("group").agg(F.count("*").alias("n")).where("n > 1")
+    parts = parts.select("group", F.ceil(F.col("n") / pair_limit).cast("int").alias("parts"))
+    own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    paired = members.join(parts, "group").withColumn("own", own)
+    paired = paired.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    meet = F.xxhash64("group", F.least("own", "other"), F.greatest("own", "other"))
+    dealt = paired.repartition(meet).select(meet.alias("key"), "node", "size", "sketch").sortWithinPartitions("key")
+
+    def unpacked(batches):
+        for batch in batches:
+            bits = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.int64).reshape(-1, LANES)
+            lanes = [pa.array(bits[:, k].copy()) for k in range(LANES)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *lanes], names=[str(k) for k in range(3 + LANES)])
+
+    def task(batches):
+        for _, rows, _ in buckets(unpacked(batches), None):  # two blocks: some 2 * pair_limit rows
+            if len(found := similar_forest(rows, least)):
+                yield pa.RecordBatch.from_arrays([pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy())], names=["a", "b"])
+
+    return dealt.mapInArrow(task, "a long, b long")
+
+
+def estimated(differing, size_a, size_b):
+    """The Jaccard similarity of two sets, by the differing bits of their sketches and their sizes."""
+    both = COSINES[differing] * np.sqrt(size_a * size_b)
+    return both / np.maximum(size_a + size_b - both, 1e-9)
+
+
+def similar_forest(rows: np.ndarray, least: float) -> np.ndarray:
+    """Pairs of nodes that connect what all similar pairs of rows (node, size, sketch's lanes) connect.
+
+    A row meets one member of each component first; only the components that it has not joined by that are
+    searched whole, so that a large component of close copies is not compared pair by pair.
+    """
+    node, size, bits = rows[:, 0], rows[:, 1].astype(np.float64), np.ascontiguousarray(rows[:, 2:]).view(np.uint64)
+    head = np.arange(len(rows))  # of each row's component, its first member
+    own = head.copy()
+    out: list[tuple[int, int]] = []
+
+    def near(k: int, at: np.ndarray) -> np.ndarray:
+        differing = np.bitwise_count(bits[at] ^ bits[k]).sum(axis=1, dtype=np.int64)
+        return at[estimated(differing, size[at], size[k]) >= least]
+
+    for k in range(1, len(rows)):
+        first = head[:k] == own[:k]
+        joined = np.zeros(k, bool)
+        met = near(k, np.flatnonzero(first))
+        joined[met] = True
+        more = near(k, np.flatnonzero(~first & ~joined[head[:k]]))
+        heads, at = np.unique(head[more], return_index=True)
+        joined[heads] = True
+        ends = np.concatenate([met, more[at]])
+        if len(ends):
+            out += [(int(node[e]), int(node[k])) for e in ends.tolist()]
+            oldest = int(np.flatnonzero(joined)[0])
+            head[:k][joined[head[:k]]] = oldest
+            head[k] = oldest
+    return np.array(out, np.int64).reshape(-1, 2)
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, pair_limit: int = 64) -> DataFrame:
@@ -320,25 +410,34 @@ def fingerprint_hex(fp: str) -> Column:
 
 
 def keep_one(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, radius: int = 6, apart: int = 16
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, slack: float = 0.02,
+    radius: int = 6, apart: int = 16, pair_limit: int = 20_000,
 ) -> DataFrame:
     """One row of docs for each group of near copies: that with the smallest id, a null id being the largest.
 
-    Texts are near if the fingerprints of their words differ in at most `radius` bits, and those of their
-    shingles of `width` words in at most `apart`. Texts without words are one group. Of rows with equal id and text any one stays, also where
+    Candidates are groups of texts linked by fingerprints of their words that differ in at most `radius` bits, and
+    of their shingles of `width` words in at most `apart`. In such a group texts are near copies if the
+    similarity of their shingles is estimated at `similarity` less `slack` (most of a standard error) or more.
+    Texts without words are one group. Of rows with equal id and text any one stays, also where
     the id is null; of rows that share an id but not the text, one.
     """
     text = F.col(text_col)
     keys = {"k1": F.xxhash64(id_col, text), "k2": F.xxhash64(F.lit("copy"), id_col, text)}  # of (id, text), 128 bits
-    prints = {"fp": word_fingerprint, "check": lambda t: set_fingerprint(t, width)}
-    rows = materialize(_printed(docs, keys | {"id": F.col(id_col)}, text_col, prints), "prints")
+    fields = "fp long, check long, size long, sketch binary"
+    rows = materialize(_printed(docs, keys | {"id": F.col(id_col)}, text_col, fields, lambda t: copy_prints(t, width)), "prints")
     head = F.struct(F.col("id").isNull().alias("none"), "id", "k1", "k2")
-    nodes = rows.groupBy("fp", "check").agg(F.min(head).alias("head")).withColumn("node", F.monotonically_increasing_id())
-    nodes = materialize(nodes, "nodes")  # written once, so a node keeps its number
-    groups = near_groups(nodes, radius, apart)
-    heads = nodes.join(groups, "node").groupBy("group").agg(F.min("head").alias("head"))
+    nodes = rows.groupBy("fp", "check", "size", "sketch").agg(F.min(head).alias("head"))
+    nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")  # written once, so a node keeps its number
+    discard(rows)
+    groups = near_groups(nodes.groupBy("fp", "check").agg(F.min("node").alias("node")), radius, apart, pair_limit)
+    members = nodes.join(groups.select("fp", "check", "group"), ["fp", "check"]).select("node", "size", "sketch", "group")
+    members = materialize(members, "members")
+    discard(groups)
+    roots = connected_components(similar_links(members, similarity - slack, pair_limit))
+    named = nodes.select("node", "head").join(roots, "node", "left")
+    heads = named.groupBy(F.coalesce("root", "node").alias("group")).agg(F.min("head").alias("head"))
     heads = materialize(heads.select(F.col("head.k1").alias("_loom_k1"), F.col("head.k2").alias("_loom_k2")), "heads")
-    discard(rows, nodes, groups)
+    discard(nodes, members, roots)
     # repeated rows go before the shuffle; the join then finds the rows dealt and sorted by its keys
     single = docs.withColumns({"_loom_k1": keys["k1"], "_loom_k2": keys["k2"]}).dropDuplicates(["_loom_k1", "_loom_k2"])
     return single.join(heads, ["_loom_k1", "_loom_k2"], "left_semi").drop("_loom_k1", "_loom_k2")

@@ -5,6 +5,7 @@ import re
 from collections import Counter
 from itertools import combinations
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -26,24 +27,48 @@ def print_of(text, width=3):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
-def set_print_of(text, width):
+def shingles_of(text, width):
     words = WORD.findall(lower(text or ""))
     shingles = {" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))} if words else set()
-    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+
+
+def bits_of(hashes):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
+def remixed(h, lane):
+    whole = (1 << 64) - 1
+    h = (h + lane * 0x9E3779B97F4A7C15) & whole
+    h = ((h ^ h >> 30) * 0xBF58476D1CE4E5B9) & whole
+    h = ((h ^ h >> 27) * 0x94D049BB133111EB) & whole
+    return h ^ h >> 31
+
+
+def sketch_of(hashes):
+    return sum(bits_of([remixed(h, lane) for h in hashes]) << 64 * (lane - 1) for lane in range(1, 17))
+
+
+def similarity_of(a, b):
+    """Of two (number of shingles, sketch)."""
+    both = math.cos(math.pi * (a[1] ^ b[1]).bit_count() / 1024) * math.sqrt(a[0] * b[0])
+    return both / (a[0] + b[0] - both) if a[0] + b[0] else 1
+
+
 def word_print_of(text):
     counts = Counter(WORD.findall(lower(text or "")))
     votes = [(xxhash.xxh64_intdigest(w.encode(), 42), math.isqrt(16 * n)) for w, n in counts.items()]
     return sum(1 << b for b in range(64) if 2 * sum(n for h, n in votes if h >> b & 1) > sum(n for _, n in votes))
 
 
-def copies_of(texts, radius=6, apart=16):
-    """The smallest id of each text's group of near copies, by union over all pairs."""
-    prints = {i: (word_print_of(t), set_print_of(t, 5)) for i, t in texts.items()}
+def copies_of(texts, radius=6, apart=16, least=0.78):
+    """The smallest id of each text's group of near copies, by union over all pairs: candidates, then similar ones among them."""
+    hashes = {i: shingles_of(t, 5) for i, t in texts.items()}
+    prints = {i: (word_print_of(t), bits_of(hashes[i])) for i, t in texts.items()}
     near = lambda a, b: (a[0] ^ b[0]).bit_count() <= radius and (a[1] ^ b[1]).bit_count() <= apart
-    return classes(prints, near=near)
+    groups = classes(prints, near=near)
+    sketches = {i: (groups[i], (len(h), sketch_of(h))) for i, h in hashes.items()}
+    return classes(sketches, near=lambda a, b: a[0] == b[0] and similarity_of(a[1], b[1]) >= least)
 
 
 def classes(prints, radius=2, near=None):
@@ -350,6 +375,65 @@ def test_keep_one_finds_nine_in_ten_similar_pairs(spark):
     assert len(kept) - 300 <= 0.1 * similar
 
 
+def edited(rng, text, share):
+    """The words of a text, so many of them changed."""
+    words = text.split()
+    for at in rng.sample(range(len(words)), int(share * len(words))):
+        words[at] = rng.choice("abcdefghij") * 3
+    return " ".join(words)
+
+
+@pytest.mark.parametrize("limit", [3, 7, 1000])
+def test_keep_one_is_the_brute_force(spark, limit):
+    """Chains and groups of copies around the threshold, in blocks of any size."""
+    rng = random.Random(limit)
+    words = ["".join(rng.choices("abcdefghij", k=5)) for _ in range(300)]
+    texts = [" ".join(rng.choices(words, k=120)) for _ in range(12)]
+    for _ in range(60):
+        texts.append(edited(rng, rng.choice(texts), rng.choice([0, 0.01, 0.02, 0.03, 0.05])))
+    texts += [None, "", "   ", "two words"]
+    rows = list(enumerate(texts))
+    rng.shuffle(rows)
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"), pair_limit=limit)
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(copies_of(dict(rows)).values()))
+
+
+def test_similar_forest_connects_all_similar_pairs():
+    rng = np.random.default_rng(3)
+    centres = rng.integers(-(1 << 62), 1 << 62, (6, simhash.LANES))
+    bits = centres[rng.integers(0, 6, 300)]
+    for row in bits:
+        for at in rng.integers(0, 64 * simhash.LANES, rng.integers(80, 130)).tolist():
+            row[at // 64] ^= simhash.signed(1 << at % 64)
+    rows = np.column_stack([np.arange(300) * 10, rng.integers(90, 110, 300), bits])
+    nodes = {int(r[0]): (int(r[1]), sum((int(x) % (1 << 64)) << 64 * k for k, x in enumerate(r[2:]))) for r in rows}
+    wanted = classes({i: (i, p) for i, p in nodes.items()}, near=lambda a, b: similarity_of(a[1], b[1]) >= 0.78)
+    root = {i: i for i in nodes}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    found = simhash.similar_forest(rows, 0.78)
+    for a, b in found.tolist():
+        root[max(find(a), find(b))] = min(find(a), find(b))
+    assert {i: find(i) for i in nodes} == wanted and 6 < len(set(wanted.values())) < 200
+    assert len(found) == 300 - len(set(wanted.values()))
+
+
+def test_sketches_estimate_similarity():
+    rng = random.Random(6)
+    errors = []
+    for _ in range(60):
+        text = " ".join("".join(rng.choices("abcdef", k=6)) for _ in range(300))
+        sets = [set(shingles_of(t, 5)) for t in (text, edited(rng, text, 0.02))]
+        a, b = (np.frombuffer(simhash.sketch(np.fromiter(s, np.uint64)), np.uint64) for s in sets)
+        estimate = simhash.estimated(int(np.bitwise_count(a ^ b).sum()), len(sets[0]), len(sets[1]))
+        errors.append(estimate - len(sets[0] & sets[1]) / len(sets[0] | sets[1]))
+    assert abs(np.mean(errors)) < 0.015 and np.std(errors) < 0.04
+
+
 def test_keep_one_of_repeated_rows_and_long_texts(spark):
     long_text = " ".join(f"w{k % 5000}" for k in range(400_000))
     rows = [(1, "same text of these rows")] * 3 + [(None, "rows without an id")] * 2 + [(4, long_text), (3, long_text + " end"), (1, "other words under an id")]
